@@ -123,8 +123,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """A table of a few small files would keep most cores idle; a large one has splits enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = df.isStreaming or df.rdd.getNumPartitions() < cores
+    return df.repartition(cores, key) if few else df
+
+
 def _run(spark: SparkSession, sf_dir: str, select: str, orders: DataFrame | None = None) -> DataFrame:
-    orders = table(spark, sf_dir, "orders") if orders is None else orders
+    orders = _spread(table(spark, sf_dir, "orders") if orders is None else orders, "o_orderkey")
     return spark.sql(fixture_sql("{orders}", "{customer}") + select,
                      orders=orders, customer=table(spark, sf_dir, "customer"))
 
@@ -135,12 +142,9 @@ def delivery_rows(spark: SparkSession, sf_dir: str, orders: DataFrame | None = N
 
 def _steps():
     """Constant map from scenario to its event steps; folded by the optimizer."""
-    entries = []
-    for scenario, events in TEMPLATE.items():
-        entries += [F.lit(scenario), F.array(*[
-            F.struct(F.lit(t).alias("type"), F.lit(place).alias("place"), F.lit(sec).alias("sec"))
-            for t, place, sec in events])]
-    return F.create_map(*entries)
+    steps = lambda events: ", ".join(
+        f"named_struct('type', '{t}', 'place', '{place}', 'sec', {sec})" for t, place, sec in events)
+    return F.expr("map(" + ", ".join(f"'{s}', array({steps(e)})" for s, e in TEMPLATE.items()) + ")")
 
 
 def deliveries(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
@@ -156,7 +160,8 @@ def deliveries(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None
             s["place"].alias("location"),
             episode.event_summary(s["type"], s["place"]).alias("summary"),
             F.date_format(F.timestamp_seconds(start + s["sec"]), ISO).alias("timestamp")))
-    rows = rows.withColumn("event_timeline", timeline)
+    # a generator of one element: filters on the timeline do not pull its computation below the join
+    rows = rows.select("*", F.explode(F.array(timeline)).alias("event_timeline"))
     return rows.select(
         "id", "home_id", "address", "owner_name", "status", "scenario_type", "carrier",
         F.date_format(created - F.expr("interval 4 hours"), ISO).alias("expected_window_start"),

@@ -2,49 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parcelsight.functions.episode import (
     ALERT_OF_SCENARIO, alert_message, alert_severity, event_summary,
 )
 from parcelsight.functions.text import lookup
+from parcelsight.operators.skew import heavy_keys
 
 MAX_TIMELINE = 10_000
 
 
-def _crowded(events: DataFrame, key: str, max_events: int) -> DataFrame:
-    """Keys with more events than one row should hold; counted map-side, so a hot key is cheap."""
-    return events.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max_events).select(key)
+def _split(events: DataFrame, key: str, max_events: int) -> tuple[DataFrame, DataFrame]:
+    """(events of episodes that fit one row, all other events).
+
+    Keys with a large share of all rows are sorted out by a broadcast of bounded size before anything
+    is shuffled; what is left to the shuffled join holds no hot key.
+    """
+    keyed = events.where(F.col(key).isNotNull())
+    crowded = keyed.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max_events).select(key)
+    heavy = F.broadcast(heavy_keys(events, key, max_events).select(key))
+    rest = keyed.join(heavy, key, "left_anti")
+    fits = rest.join(crowded, key, "left_anti")
+    others = (keyed.join(heavy, key, "left_semi")
+              .unionByName(rest.join(crowded, key, "left_semi"))
+              .unionByName(events.where(F.col(key).isNull())))
+    return fits, others
 
 
 def assemble_deliveries(events: DataFrame, key: str = "delivery_id",
                         max_events: int = MAX_TIMELINE) -> DataFrame:
     """One row per episode with its ordered event ids and timeline.
 
-    An episode longer than `max_events` would not fit one row or one task; such episodes are left to
-    `crowded_episodes`, which returns all their events as rows, so the two together are complete.
+    An episode longer than `max_events` would not fit one row or one task. Its events, and events
+    without an episode, are returned by `loose_events`; the two together are complete.
     """
-    regular = events.join(_crowded(events, key, max_events), key, "left_anti")
+    fits, _ = _split(events, key, max_events)
     entry = F.struct(
         F.col("timestamp").alias("at"), F.col("id").alias("event_id"), F.col("type").alias("event_type"),
-        "location", event_summary(F.col("type"), F.col("location")).alias("summary"))
-    grouped = regular.groupBy(key, "home_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+        "location")
+    grouped = fits.groupBy(key, "home_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     timeline = F.transform("entries", lambda e: F.struct(
         e["event_id"].alias("event_id"), e["event_type"].alias("event_type"),
-        e["location"].alias("location"), e["summary"].alias("summary"), e["at"].alias("timestamp")))
+        e["location"].alias("location"),
+        event_summary(e["event_type"], e["location"]).alias("summary"), e["at"].alias("timestamp")))
     return grouped.select(
         key, "home_id", F.transform("entries", lambda e: e["event_id"]).alias("event_ids"),
         timeline.alias("event_timeline"), F.size("entries").alias("n_events"))
 
 
-def crowded_episodes(events: DataFrame, key: str = "delivery_id",
-                     max_events: int = MAX_TIMELINE) -> DataFrame:
-    """The events of over-long episodes as rows; AQE splits their hot join partition."""
-    return (events.join(_crowded(events, key, max_events), key, "left_semi")
-            .select(key, "home_id", F.col("id").alias("event_id"), F.col("type").alias("event_type"),
-                    "location", event_summary(F.col("type"), F.col("location")).alias("summary"),
-                    "timestamp"))
+def loose_events(events: DataFrame, key: str = "delivery_id", max_events: int = MAX_TIMELINE) -> DataFrame:
+    """Events that `assemble_deliveries` leaves out, as rows with the same fields as timeline entries."""
+    _, others = _split(events, key, max_events)
+    return others.select(
+        key, "home_id", F.col("id").alias("event_id"), F.col("type").alias("event_type"), "location",
+        event_summary(F.col("type"), F.col("location")).alias("summary"), "timestamp")
 
 
 def derive_alerts(deliveries: DataFrame) -> DataFrame:
@@ -78,7 +92,7 @@ def scenario_marks() -> dict:
     return {name: F.bool_or(F.coalesce(test, F.lit(False))) for name, test in evidence.items()}
 
 
-def inferred_scenario() -> "F.Column":
+def inferred_scenario() -> Column:
     """First mark that holds, in order of how telling it is."""
     return F.coalesce(*[F.when(F.col(f"saw_{name}"), name) for name in scenario_marks()])
 
@@ -90,15 +104,36 @@ def classify_scenario(events: DataFrame, *keys: str) -> DataFrame:
     return seen.select(*keys, "n_events", inferred_scenario().alias("scenario_type"))
 
 
-def session_episodes(events: DataFrame, gap: str = "3 hours", ts: str = "event_ts") -> DataFrame:
-    """Episodes found by quiet gaps per home, for streams (set a watermark) and batches.
+def _session_columns(first: str, last: str) -> list:
+    return ["home_id", first, last, "n_events", inferred_scenario().alias("scenario_type")]
+
+
+def session_episodes(events: DataFrame, gap_seconds: int = 3 * 3600, ts: str = "event_ts") -> DataFrame:
+    """Episodes found by quiet gaps per home.
 
-    A session keeps counts, ends and scenario marks, never its events, so a home that is never
-    quiet costs one small state row.
+    Events of one home inside one gap-long slice of time always belong together, so slices are
+    aggregated first (map-side) and only their ends are compared: a home with a third of all events
+    brings one row per slice to the window.
     """
+    names = list(scenario_marks())
+    slices = (events.where(F.col(ts).isNotNull())
+              .groupBy("home_id", F.floor(F.unix_timestamp(ts) / gap_seconds).alias("slice"))
+              .agg(F.count("*").alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last"),
+                   *[mark.alias(f"saw_{name}") for name, mark in scenario_marks().items()]))
+    in_order = W.partitionBy("home_id").orderBy("slice")
+    quiet = F.unix_micros("first") - F.unix_micros(F.lag("last").over(in_order)) > gap_seconds * 1_000_000
+    numbered = (slices.withColumn("opens", F.coalesce(quiet, F.lit(True)))
+                .withColumn("session", F.count_if("opens").over(in_order)))
+    sessions = numbered.groupBy("home_id", "session").agg(
+        F.sum("n").alias("n_events"), F.min("first").alias("first_event"), F.max("last").alias("last_event"),
+        *[F.bool_or(f"saw_{name}").alias(f"saw_{name}") for name in names])
+    return sessions.select(*_session_columns("first_event", "last_event"))
+
+
+def live_sessions(events: DataFrame, gap: str = "3 hours", ts: str = "event_ts") -> DataFrame:
+    """The same on a stream (set a watermark). A session's state is counts, ends and marks, never its
+    events, so a home that is never quiet keeps one small row."""
     marks = [mark.alias(f"saw_{name}") for name, mark in scenario_marks().items()]
     seen = events.groupBy(F.session_window(ts, gap).alias("session"), "home_id").agg(
-        F.count("*").alias("n_events"), F.min(ts).alias("first_event"), F.max(ts).alias("last_event"),
-        *marks)
-    return seen.select("home_id", "first_event", "last_event", "n_events",
-                       inferred_scenario().alias("scenario_type"))
+        F.count("*").alias("n_events"), F.min(ts).alias("first_event"), F.max(ts).alias("last_event"), *marks)
+    return seen.select(*_session_columns("first_event", "last_event"))

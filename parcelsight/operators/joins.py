@@ -1,4 +1,8 @@
-"""Relations between the collections. No join is hinted: AQE broadcasts a side only after measuring it."""
+"""Relations between the collections.
+
+Joins on unique keys are left to AQE, which broadcasts a side only after measuring it. Joins on a key
+that may be hot go through `balanced_join`.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 
 from parcelsight.functions.episode import full_address
 from parcelsight.functions.text import REDACTED
+from parcelsight.operators.skew import balanced_join
 
 MAX_LITERAL_IDS = 1000
 
@@ -33,13 +38,13 @@ def redaction_audit(raw: DataFrame, processed: DataFrame) -> DataFrame:
 
 
 def attach_home(deliveries: DataFrame, homes: DataFrame) -> DataFrame:
-    """Home facts onto each delivery. A home with very many deliveries is split by AQE's skew join."""
+    """Home facts onto each delivery; a home with very many deliveries is shared out over tasks."""
     facts = homes.select(
         F.col("id").alias("home_id"), F.col("owner_name").alias("home_owner"),
         full_address(F.col("address"), F.col("city"), F.col("state"), F.col("zip_code"))
         .alias("home_address"),
         F.col("address").alias("home_street"), "latitude", "longitude", "devices")
-    return deliveries.join(facts, "home_id")
+    return balanced_join(deliveries, facts, "home_id", spread="id")
 
 
 def explode_delivery_events(deliveries: DataFrame) -> DataFrame:
@@ -58,7 +63,7 @@ def alert_context(alerts: DataFrame, deliveries: DataFrame) -> DataFrame:
     facts = deliveries.select(
         F.col("id").alias("delivery_id"), "scenario_type", "status", "carrier", "risk_score",
         "delivery_location")
-    return alerts.join(facts, "delivery_id")
+    return balanced_join(alerts, facts, "delivery_id", spread="id")
 
 
 def lookup_by_id(df: DataFrame, ids: list[str] | DataFrame) -> DataFrame:

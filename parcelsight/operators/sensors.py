@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parcelsight.functions.episode import pick_device
 from parcelsight.operators.joins import attach_home
+from parcelsight.operators.skew import balanced_join
 
 DOOR_EVENTS = ("door_open", "door_close", "door_stuck")
 GRID = 0.05
@@ -16,7 +17,7 @@ GRID = 0.05
 def assign_devices(events: DataFrame, homes: DataFrame) -> DataFrame:
     """The device of the home that reports from the event's place."""
     devices = homes.select(F.col("id").alias("home_id"), "devices")
-    return (events.join(devices, "home_id")
+    return (balanced_join(events, devices, "home_id", spread="id")
             .withColumn("device_id", pick_device(F.col("devices"), F.col("location"))).drop("devices"))
 
 

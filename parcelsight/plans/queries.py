@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelsight import schemas
@@ -23,11 +23,11 @@ from parcelsight.streaming import jobs
 STAMP = "2024-01-01T00:00:00.000Z"
 
 
-def _joined(c: str) -> "F.Column":
+def _joined(c: str) -> Column:
     return F.array_join(c, ",").alias(c)
 
 
-def _timeline_text() -> "F.Column":
+def _timeline_text() -> Column:
     return F.array_join(F.transform("event_timeline", lambda e: F.concat_ws(
         "|", e["event_id"], e["event_type"], e["location"], e["summary"], e["timestamp"])), ";")
 
@@ -268,10 +268,28 @@ select home_id, strftime(min(event_ts), {ISO}) as first_event, strftime(max(even
   end as scenario_type
 from numbered group by home_id, s""")
 def session_episodes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = episodes.session_episodes(fx.events(spark, sf), "5 hours")
+    rows = episodes.session_episodes(fx.events(spark, sf), 5 * 3600)
     return rows.withColumns({c: F.date_format(c, fx.ISO) for c in ("first_event", "last_event")})
 
 
+@query("streamed_sessions", BASE + f"""
+, gaps as (
+  select *, event_ts > lag(event_ts) over w + interval '5' hour as breaks
+  from raw_events window w as (partition by home_id order by event_ts, event_id)
+), numbered as (
+  select *, count(*) filter (where breaks) over (partition by home_id order by event_ts, event_id) as s from gaps
+)
+select home_id, strftime(min(event_ts), {ISO}) as first_event, count(*) as n_events from numbered group by home_id, s
+having max(event_ts) + interval '5' hour <= (select max(event_ts) - interval '10' minute from raw_events)""")
+def streamed_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    root = scratch_dir(spark, "sessions")
+    fx.events(spark, sf).select("home_id", "event_ts", "type", "location").write.parquet(f"{root}/in")
+    feed = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).parquet(f"{root}/in")
+    jobs.append_table(jobs.stream_sessions(feed, "5 hours"), f"{root}/out", f"{root}/state").awaitTermination()
+    rows = spark.read.parquet(f"{root}/out")
+    return rows.select("home_id", F.date_format("first_event", fx.ISO).alias("first_event"), "n_events")
+
+
 @query("event_devices", BASE + """
 select event_id, e.home_id, location, case
   when location = 'garage' then 'GDO-SEN-' || tail when location = 'front_door' then 'CAM-FRT-' || tail

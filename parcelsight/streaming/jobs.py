@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from parcelsight import schemas
 from parcelsight.operators import vectors
 from parcelsight.operators.enrich import enrich, needs_embedding, reject_bad_rows
-from parcelsight.operators.episodes import session_episodes
+from parcelsight.operators.episodes import live_sessions
 from parcelsight.operators.metrics import tick_counts
 from parcelsight.sources.changes import route_by_collection
 
@@ -113,4 +113,4 @@ def metrics_documents(throughput: DataFrame, target_rate: int, workers: int, bat
 
 def stream_sessions(events: DataFrame, gap: str = "3 hours", late: str = "10 minutes",
                     ts: str = "event_ts") -> DataFrame:
-    return session_episodes(timed(events, ts, late), gap, ts)
+    return live_sessions(timed(events, ts, late), gap, ts)

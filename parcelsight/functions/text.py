@@ -34,6 +34,11 @@ def redact_name(name: Column) -> Column:
     return F.when(name.isNull() | (name == ""), F.lit(REDACTED)).otherwise(F.array_join(masked, " "))
 
 
+def iso_time(ts: Column, fmt: str = "yyyy-MM-dd'T'HH:mm:ss'Z'") -> Column:
+    """A timestamp as UTC text, whatever the zone of the session."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), fmt)
+
+
 def short_time(ts: Column) -> Column:
     return F.when(F.length(ts) >= 16, F.substring(ts, 12, 5)).otherwise(ts)
 

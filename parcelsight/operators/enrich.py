@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelsight.functions.narrative import embedding_text, knowledge_summary, risk_assessment
-from parcelsight.functions.text import redact_name
+from parcelsight.functions.text import iso_time, redact_name
 
 ENRICHMENT_VERSION = "2.0"
 SOURCE_SCOPE = "rawdata"
@@ -15,8 +15,7 @@ EMBEDDING_COLUMNS = ("embedding", "embedding_model", "embedding_dimensions", "em
 
 
 def iso_now() -> Column:
-    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()),
-                         "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return iso_time(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def pending_only(deliveries: DataFrame) -> DataFrame:

@@ -78,8 +78,15 @@ def search_projection(hits: DataFrame) -> DataFrame:
 # ---- newest first -------------------------------------------------------------------------------
 
 def newest(df: DataFrame, ts: str, n: int) -> DataFrame:
-    """Each task keeps n rows and only those travel (TakeOrderedAndProject)."""
-    return df.orderBy(F.desc(ts), "id").limit(n)
+    """The n newest rows, read in two steps.
+
+    The first step reads the time column alone and gives the n-th newest time. The second reads whole
+    rows, but only where a file's time range reaches that far (the bound is pushed to the scan); each
+    task keeps n of them (TakeOrderedAndProject). Ties at the bound all take part.
+    """
+    bound = df.select(ts).orderBy(F.desc(ts)).limit(n).agg(F.min(ts)).scalar()
+    reach = df.where((F.col(ts) >= bound) | F.col(ts).isNull())
+    return reach.orderBy(F.desc(ts), "id").limit(n)
 
 
 def recent_raw(deliveries: DataFrame, n: int = 20) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, DoubleType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from parcelsight.functions.vector_math import (
     DECIMALS, bucket_vectors, distance_to, hashed_words, rows_of, unit_rows,
@@ -25,7 +27,8 @@ log = logging.getLogger(__name__)
 MAX_QUERY_VALUES = 8_000_000      # doubles sent to every task: 64 MB
 TILE_ROWS = 20_000                # corpus rows per task when the queries are too many to send around
 QUERY_STRIPE = 256                # queries per matrix product, bounds task memory
-TRAIN_ROWS = 2_000_000            # rows the cell centres are fitted on
+TASKS_PER_CORE = 4                # tasks of a corpus scan
+TRAIN_PER_CELL = 1_024            # rows per cell that the centres are fitted on
 
 Embedder = Callable[[list[str]], list]
 
@@ -165,17 +168,18 @@ def _merge(partial: DataFrame, k: int) -> DataFrame:
     return _scored(ranked)
 
 
-def _sent_queries(rows) -> tuple[np.ndarray, np.ndarray]:
-    units = unit_rows(np.array([r["embedding"] for r in rows], dtype=np.float64))
+def _sent_queries(rows: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the queries that have a direction."""
+    matrix, where = rows_of(rows["embedding"].combine_chunks(), dim)
+    units = unit_rows(matrix)
     sound = ~np.isnan(units).any(axis=1)
-    return _names(pa.array([r["query_id"] for r in rows]))[sound], units[sound]
+    return _names(rows["query_id"])[where][sound], units[sound]
 
 
 def _scan(corpus: DataFrame, query_ids, units, k, schema: StructType, probes=None) -> DataFrame:
     """One pass over the corpus where it lies; the queries travel, the corpus does not."""
     spark = corpus.sparkSession
     sent = spark.sparkContext.broadcast((query_ids, units, probes))
-    from pyspark.sql.pandas.types import to_arrow_schema
     out = to_arrow_schema(schema)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +192,9 @@ def _scan(corpus: DataFrame, query_ids, units, k, schema: StructType, probes=Non
             yield _emit(found, names, out)
 
     columns = ["id", "embedding"] + ([] if probes is None else ["cell"])
-    return _merge(corpus.select(*columns).mapInArrow(best, schema), k)
+    # few long tasks: the rows to merge are tasks x queries x k, whatever the number of files
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    return _merge(corpus.select(*columns).coalesce(tasks).mapInArrow(best, schema), k)
 
 
 def topk_batch(queries: DataFrame, corpus: DataFrame, k: int = 10,
@@ -205,14 +211,13 @@ def topk_batch(queries: DataFrame, corpus: DataFrame, k: int = 10,
     if width is None:
         return _merge(corpus.sparkSession.createDataFrame([], schema), k)
     limit = max(max_values // max(width["d"], 1), 1)
-    rows = queries.where(F.array_size("embedding") == width["d"]).limit(limit + 1).collect()
-    if len(rows) <= limit:
-        return _scan(corpus, *_sent_queries(rows), k, schema)
+    rows = queries.where(F.array_size("embedding") == width["d"]).limit(limit + 1).toArrow()
+    if rows.num_rows <= limit:
+        return _scan(corpus, *_sent_queries(rows, width["d"]), k, schema)
     return _topk_tiled(queries, corpus, k, limit, tile_rows, schema, width["d"])
 
 
 def _topk_tiled(queries, corpus, k, block_rows, tile_rows, schema, dim) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
     out = to_arrow_schema(schema)
     blocks = -(-queries.count() // block_rows)
     tiles = -(-corpus.count() // tile_rows)
@@ -225,14 +230,11 @@ def _topk_tiled(queries, corpus, k, block_rows, tile_rows, schema, dim) -> DataF
 
     def meet(q: pa.Table, c: pa.Table) -> pa.Table:
         if q.num_rows and c.num_rows:
-            matrix, where = rows_of(q["embedding"].combine_chunks(), dim)
-            units = unit_rows(matrix)
-            names = _names(q["query_id"])[where]
+            names, units = _sent_queries(q, dim)
             batch = (_names(c["id"]), c["embedding"].combine_chunks(), None)
-            sound = ~np.isnan(units).any(axis=1)
-            found = _best_of(iter([batch]), units[sound], k) if sound.any() else None
+            found = _best_of(iter([batch]), units, k) if len(units) else None
             if found is not None:
-                return pa.Table.from_batches([_emit(found, names[sound], out)])
+                return pa.Table.from_batches([_emit(found, names, out)])
         return out.empty_table()
 
     pairs = left.groupBy("block", "tile").cogroup(right.groupBy("block", "tile"))
@@ -242,14 +244,14 @@ def _topk_tiled(queries, corpus, k, block_rows, tile_rows, schema, dim) -> DataF
 # ---- cells (IVF) --------------------------------------------------------------------------------
 
 def train_cells(corpus: DataFrame, n_cells: int, seed: int = 7, max_iter: int = 10,
-                train_rows: int = TRAIN_ROWS) -> KMeansModel:
-    """Cell centres. Beyond `train_rows` they are fitted on a random share; every row is still
-    assigned to a cell and can be found."""
+                train_per_cell: int = TRAIN_PER_CELL) -> KMeansModel:
+    """Cell centres, which settle on about a thousand rows per cell and are fitted on that share.
+    Every row is still assigned to a cell and can be found."""
     vectors = corpus.where(F.array_size("embedding") > 0).select(
         array_to_vector("embedding").alias("features"))
-    total = vectors.count()
-    if total > train_rows:
-        vectors = vectors.sample(fraction=train_rows / total, seed=seed)
+    total, enough = vectors.count(), n_cells * train_per_cell
+    if total > enough:
+        vectors = vectors.sample(fraction=enough / total, seed=seed)
     return KMeans(k=n_cells, distanceMeasure="cosine", seed=seed, maxIter=max_iter).fit(vectors)
 
 
@@ -288,10 +290,10 @@ def ann_topk_batch(queries: DataFrame, cells: DataFrame, model: KMeansModel, k:
     result = None
     for block in range(blocks):
         share = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        rows = share.where(F.array_size("embedding") == dim).collect()
-        if not rows:
+        rows = share.where(F.array_size("embedding") == dim).toArrow()
+        if not rows.num_rows:
             continue
-        names, units = _sent_queries(rows)
+        names, units = _sent_queries(rows, dim)
         probes: dict[int, list[int]] = {}
         for q, row in enumerate(_nearest_cells(model, units, nprobe)):
             for c in row:
@@ -303,10 +305,15 @@ def ann_topk_batch(queries: DataFrame, cells: DataFrame, model: KMeansModel, k:
     return _merge(cells.sparkSession.createDataFrame([], schema), k) if result is None else result
 
 
-def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
-    """Share of the exact hits that the approximate search found."""
-    found = approximate.select("query_id", "id", F.lit(1).alias("found"))
-    return (exact.select("query_id", "id").join(found, ["query_id", "id"], "left")
+def recall_by_probes(queries: DataFrame, cells: DataFrame, model: KMeansModel, k: int,
+                     nprobes: list[int]) -> DataFrame:
+    """Share of the exact hits found per number of probed cells; the basis for choosing `nprobe`."""
+    found = reduce(DataFrame.unionByName, [
+        ann_topk_batch(queries, cells, model, k, n).select(
+            F.lit(n).alias("nprobe"), "query_id", "id", F.lit(1).alias("found")) for n in nprobes])
+    exact = topk_batch(queries, cells, k).select(
+        F.explode(F.array(*[F.lit(n) for n in nprobes])).alias("nprobe"), "query_id", "id")
+    return (exact.join(found, ["nprobe", "query_id", "id"], "left").groupBy("nprobe")
             .agg(F.count("*").alias("pairs"), F.count("found").alias("hits"))
             .withColumn("recall", F.col("hits") / F.col("pairs")))
 

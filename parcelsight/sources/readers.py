@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -45,3 +46,11 @@ def stream_raw(spark: SparkSession, kind: str, path: str, fmt: str = "parquet",
     """Change feed of a folder: all files that are there, then every new one."""
     options, _ = flush_policy(max_files, available_now=True)
     return _timed(spark.readStream.schema(_schema(kind, fmt)).options(**options).format(fmt).load(path), kind)
+
+
+def try_read(spark: SparkSession, kind: str, path: str, fmt: str = "parquet") -> DataFrame | None:
+    """A collection that may not be there yet; None when it cannot be read."""
+    try:
+        return read_raw(spark, kind, path, fmt)
+    except AnalysisException:
+        return None

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from parcelsight import schemas
+from parcelsight.functions.text import iso_time
 from parcelsight.operators import vectors
 from parcelsight.operators.enrich import enrich, needs_embedding, reject_bad_rows
 from parcelsight.operators.episodes import live_sessions
 from parcelsight.operators.metrics import tick_counts
-from parcelsight.sources.changes import route_by_collection
+from parcelsight.sources.changes import route_by_collection, upsert_latest
 
 NOW = {"availableNow": True}
 
@@ -71,8 +72,6 @@ def start_routing(mixed: DataFrame, root: str, checkpoint: str, trigger: dict |
 def start_upserts(changes: DataFrame, root: str, checkpoint: str, key: str, order: list[str],
                   trigger: dict | None = None) -> StreamingQuery:
     """Append each micro-batch to the change log, already reduced to its newest row per key."""
-    from parcelsight.sources.changes import upsert_latest
-
     def write(batch: DataFrame, number: int) -> None:
         upsert_latest(batch, key, order).write.mode("overwrite").parquet(f"{root}/batch={number}")
 
@@ -102,12 +101,11 @@ def start_metrics(mixed: DataFrame, path: str, checkpoint: str, trigger: dict |
 def metrics_documents(throughput: DataFrame, target_rate: int, workers: int, batch_size: int,
                       running: bool = True) -> DataFrame:
     """Throughput rows in the shape of the metrics document, one per tick."""
-    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     start = F.timestamp_seconds(F.unix_timestamp("tick") - F.col("elapsed_seconds").cast("bigint") + 1)
     return throughput.select(
         "total_events_ingested", "total_deliveries", "total_alerts",
-        F.lit(target_rate).alias("target_rate"), "actual_rate", iso(start).alias("start_time"),
-        iso("tick").alias("last_update"), F.lit(running).alias("running"), "elapsed_seconds",
+        F.lit(target_rate).alias("target_rate"), "actual_rate", iso_time(start).alias("start_time"),
+        iso_time(F.col("tick")).alias("last_update"), F.lit(running).alias("running"), "elapsed_seconds",
         F.lit(workers).alias("workers"), F.lit(batch_size).alias("batch_size"))
 
 

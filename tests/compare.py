@@ -33,9 +33,8 @@ def normalised(columns, rows):
     return sorted(columns), sorted(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, con, sf_dir: str, name: str, fn, sql: str) -> str | None:
+def compare(con, df, sql: str) -> str | None:
     """None when equal, else what differs."""
-    df = fn(spark, sf_dir)
     left = normalised(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(sql)
     right = normalised([d[0] for d in cur.description], cur.fetchall())
@@ -62,7 +61,7 @@ if __name__ == "__main__":
         start = time.time()
         try:
             if name in oracles:
-                problem = compare(spark, con, sf, name, e.queries()[name], oracles[name])
+                problem = compare(con, e.queries()[name](spark, sf), oracles[name])
                 note = "ok" if problem is None else f"DIFFERS {problem}"
             else:
                 note = f"rows only: {len(e.queries()[name](spark, sf).collect())}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,15 +19,12 @@ def _share(part: Column, whole: Column) -> Column:
 
 def collection_counts(tables: dict[str, DataFrame | None]) -> DataFrame:
     """Row count per collection in one job; a collection that cannot be read counts 0."""
-    parts = []
-    for name, df in tables.items():
-        count = F.lit(0).cast("bigint")
-        if df is None:
-            row = next(t for t in tables.values() if t is not None).limit(0)
-            parts.append(row.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("collection"), count.alias("row_count")))
-        else:
-            parts.append(df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("collection"), "row_count"))
-    return reduce(DataFrame.unionByName, parts)
+    spark = SparkSession.active()
+    counts = [
+        spark.createDataFrame([(name, 0)], "collection string, row_count bigint") if df is None else
+        df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("collection"), "row_count")
+        for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def ai_ready_count(processed: DataFrame) -> DataFrame:

@@ -36,7 +36,8 @@ def with_next(df: DataFrame, key: str, ts: str, tie: str, *wanted: str, unit: st
 
     The following row is sought inside the time slice of the row; only the last row of a slice looks
     at the head of the next slice that has rows. A key with a third of all rows is thus sorted slice
-    by slice in many tasks, and the window over whole keys sees one row per slice.
+    by slice in many tasks, and the window over whole keys sees one row per slice. `unit` is the
+    length of a slice, as for date_trunc.
     """
     item = F.struct(ts, tie, *wanted)
     sliced = df.withColumn("slice", F.date_trunc(unit, ts))

@@ -9,7 +9,8 @@ UPSERT, DELETE = "U", "D"
 
 
 def _newest_row(df: DataFrame, order: list[str]) -> Column:
-    return F.max_by(F.struct(*df.columns), F.struct(*order)).alias("row")
+    # rows that tie in `order` are told apart by their content, so that every run keeps the same one
+    return F.max_by(F.struct(*df.columns), F.struct(*order, F.xxhash64(*df.columns))).alias("row")
 
 
 def upsert_latest(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -27,6 +28,12 @@ def current_rows(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     return upsert_latest(log, key, order).where(F.col("op") != DELETE).drop("op")
 
 
+def compact(log: DataFrame, key: str, order: list[str], path: str) -> None:
+    """Write the state of a change log as a snapshot that can stand in for the log so far."""
+    state = upsert_latest(log, key, order).where(F.col("op") != DELETE)
+    state.write.mode("overwrite").parquet(path)
+
+
 def apply_deletes(processed: DataFrame, tombstones: DataFrame, key: str = "id") -> DataFrame:
     """Processed rows whose raw row was not deleted; a tombstone without a row does nothing."""
     return processed.join(tombstones.select(key), key, "left_anti")

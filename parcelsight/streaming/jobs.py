@@ -82,7 +82,7 @@ def start_upserts(changes: DataFrame, root: str, checkpoint: str, key: str, orde
 # ---- throughput ---------------------------------------------------------------------------------
 
 def timed(stream: DataFrame, ts: str, late: str) -> DataFrame:
-    """Watermark on a real timestamp column; a timestamp without zone is read as UTC."""
+    """Watermark on a real timestamp column; a timestamp without zone is read in the session's zone."""
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
 
 

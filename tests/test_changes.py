@@ -56,3 +56,19 @@ def test_collection_that_is_not_there_counts_zero(spark, tmp_path):
     assert gone is None
     rows = metrics.collection_counts({"homes": gone, "deliveries": there}).collect()
     assert {(r["collection"], r["row_count"]) for r in rows} == {("homes", 0), ("deliveries", 1)}
+
+
+def test_compacted_log_gives_the_same_state(spark, tmp_path):
+    log = changes.as_changes(keyed(spark, ("a", "1", 1), ("b", "1", 1), ("a", "2", 2))).unionByName(
+        changes.as_changes(keyed(spark, ("b", None, 3)), changes.DELETE))
+    changes.compact(log, "id", ["seq"], str(tmp_path / "snap"))
+    more = changes.as_changes(keyed(spark, ("c", "1", 4)))
+    pick = lambda df: sorted(map(tuple, changes.current_rows(df, "id", ["seq"]).collect()))
+    assert pick(spark.read.parquet(str(tmp_path / "snap")).unionByName(more)) == pick(log.unionByName(more))
+
+
+def test_ties_keep_the_same_row(spark):
+    rows = [("a", str(i), 1) for i in range(50)]
+    kept = {changes.upsert_latest(keyed(spark, *order).repartition(n), "id", ["seq"]).first()["v"]
+            for n, order in ((1, rows), (3, rows[::-1]), (7, rows))}
+    assert len(kept) == 1

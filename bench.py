@@ -111,12 +111,16 @@ def main() -> None:
     timed("throughput", lambda: drain(metrics.throughput(metrics.tick_counts(live))))
     timed("filtered_topk", lambda: vectors.filtered_topk(ready, question, 10, risk_level="high").collect())
     timed("topk_batch", lambda: drain(vectors.topk_batch(questions, ready, 10)))
-    model = vectors.train_cells(ready, 16)
-    timed("build_cells", lambda: vectors.write_cells(
-        vectors.assign_cells(ready, vectors.train_cells(ready, 16)), f"{root}/cells"), repeat=1)
-    vectors.write_cells(vectors.assign_cells(ready, model), f"{root}/cells")
+    index = vectors.index_rows(ready)
+    built: dict = {}
+
+    def build_cells():
+        built["model"] = vectors.train_cells(index, 16)
+        vectors.write_cells(vectors.assign_cells(index, built["model"]), f"{root}/cells")
+
+    timed("build_cells", build_cells)
     cells = spark.read.parquet(f"{root}/cells")
-    timed("ann_topk", lambda: vectors.ann_topk(cells, model, question, 10).collect())
+    timed("ann_topk", lambda: vectors.ann_topk(cells, built["model"], question, 10).collect())
     hits = vectors.topk_batch(questions, ready, 8).join(ready.select(*feeds.SEARCH_RESULT), "id")
     timed("question_contexts", lambda: drain(rag.context(hits)))
 

@@ -30,6 +30,8 @@ QUERY_STRIPE = 256                # queries per matrix product, bounds task memo
 TASKS_PER_CORE = 4                # tasks of a corpus scan
 TRAIN_PER_CELL = 1_024            # rows per cell that the centres are fitted on
 
+INDEX_COLUMNS = ("id", "embedding", "is_ai_ready", "carrier", "scenario_type", "status", "risk_score")
+
 Embedder = Callable[[list[str]], list]
 
 
@@ -255,6 +257,11 @@ def train_cells(corpus: DataFrame, n_cells: int, seed: int = 7, max_iter: int =
     return KMeans(k=n_cells, distanceMeasure="cosine", seed=seed, maxIter=max_iter).fit(vectors)
 
 
+def index_rows(processed: DataFrame) -> DataFrame:
+    """What a search needs: id, vector and filter columns. Hits get their other columns by id."""
+    return processed.select(*INDEX_COLUMNS)
+
+
 def assign_cells(corpus: DataFrame, model: KMeansModel) -> DataFrame:
     rows = corpus.where(F.array_size("embedding") > 0)
     return (model.setPredictionCol("cell")

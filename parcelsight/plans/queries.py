@@ -848,8 +848,8 @@ def topk_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, sf: str):
-    corpus = fx.ai_ready(spark, sf)
-    model = vectors.train_cells(corpus.select("embedding"), 16)
+    corpus = vectors.index_rows(fx.ai_ready(spark, sf))
+    model = vectors.train_cells(corpus, 16)
     path = scratch_dir(spark, "cells")
     vectors.write_cells(vectors.assign_cells(corpus, model), path)
     return spark.read.parquet(path), model
@@ -859,7 +859,8 @@ def _cells(spark: SparkSession, sf: str):
 def ann_topk(spark: SparkSession, sf: str) -> DataFrame:
     cells, model = _cells(spark, sf)
     hits = vectors.ann_topk(cells, model, _question(spark, sf), 10, nprobe=4)
-    return hits.select("id", "scenario_type", "distance", "score")
+    wide = fx.processed(spark, sf).select("id", "address", "knowledge_summary")
+    return hits.join(wide, "id").select("id", "scenario_type", "address", "knowledge_summary", "distance", "score")
 
 
 @query("ann_recall")

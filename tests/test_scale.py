@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from parcelsight.operators import enrich as en
-from parcelsight.operators import episodes, feeds, metrics, sensors
+from parcelsight.operators import episodes, feeds, joins, metrics, sensors
 from parcelsight.operators.skew import balanced_join, heavy_keys
 from parcelsight.plans import fixtures as fx
 from parcelsight.sources import tables
@@ -153,3 +153,11 @@ def test_time_bound_skips_files(spark, stored, tmp_path):
     leaves = executed.executedPlan().plan().collectLeaves()      # adaptive plan, result stage
     read = [leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size())]
     assert sum(read) < 1500 / 2, read
+
+
+def test_no_owner_name_in_processed_texts(stored):
+    raw, processed, _ = stored
+    audit = joins.redaction_audit(raw, processed)
+    assert audit.count() == raw.count() and audit.where("name_leaked").isEmpty()
+    leaky = processed.withColumn("knowledge_summary", F.concat("knowledge_summary", F.lit(" Customer 000000007")))
+    assert not joins.redaction_audit(raw, leaky).where("name_leaked").isEmpty()

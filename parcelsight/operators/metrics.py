@@ -17,6 +17,11 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole * 100).otherwise(F.lit(0.0))
 
 
+def steady_mean(c: Column) -> Column:
+    """Mean summed in decimals: the same whatever the order in which tasks deliver their parts."""
+    return F.avg(c.cast("decimal(18,9)")).cast("double")
+
+
 def collection_counts(tables: dict[str, DataFrame | None]) -> DataFrame:
     """Row count per collection in one job; a collection that cannot be read counts 0."""
     spark = SparkSession.active()
@@ -97,7 +102,7 @@ def pattern_groups(deliveries: DataFrame) -> DataFrame:
     """
     keys = ["scenario_type", "carrier"]
     groups = deliveries.groupBy(*keys).agg(
-        F.count("*").alias("deliveries"), F.avg("risk_score").alias("mean_risk"))
+        F.count("*").alias("deliveries"), steady_mean(F.col("risk_score")).alias("mean_risk"))
     per_factor = (deliveries.select(*keys, F.explode("risk_factors").alias("factor"))
                   .groupBy(*keys, "factor").agg(F.count("*").alias("n")))
     factors = per_factor.groupBy(*keys).agg(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parcelsight.functions.episode import pick_device
 from parcelsight.operators.joins import attach_home
+from parcelsight.operators.metrics import steady_mean
 from parcelsight.operators.skew import balanced_join
 
 DOOR_EVENTS = ("door_open", "door_close", "door_stuck")
@@ -25,9 +26,9 @@ def sensor_rollup(events: DataFrame) -> DataFrame:
     raw = F.col("raw_data")
     return events.groupBy("home_id", "device_id").agg(
         F.count("*").alias("events"),
-        F.avg(raw["motion_confidence"]).alias("mean_motion"),
-        F.avg(raw["classification_confidence"]).alias("mean_classification"),
-        F.avg(raw["signal_strength"]).alias("mean_signal"),
+        steady_mean(raw["motion_confidence"]).alias("mean_motion"),
+        steady_mean(raw["classification_confidence"]).alias("mean_classification"),
+        steady_mean(raw["signal_strength"]).alias("mean_signal"),
         F.max(raw["firmware_version"]).alias("firmware"))
 
 
@@ -72,4 +73,4 @@ def geo_tag(deliveries: DataFrame, homes: DataFrame, grid: float = GRID) -> Data
 
 def deliveries_per_cell(tagged: DataFrame) -> DataFrame:
     return tagged.groupBy("lat_cell", "lon_cell").agg(F.count("*").alias("deliveries"),
-                                                      F.avg("risk_score").alias("mean_risk"))
+                                                      steady_mean(F.col("risk_score")).alias("mean_risk"))

@@ -5,7 +5,7 @@ The same WITH text runs in both engines, so the queries and their oracles start
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelsight.functions import episode
@@ -58,7 +58,11 @@ TEMPLATE = {
         ("camera_motion", "front_door", 5430), ("package_detected", "front_door", 5440),
         ("camera_motion", "front_door", 6490), ("unknown_person", "front_door", 6493)],
 }
-ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+
+
+def iso_text(ts) -> Column:
+    """A timestamp without zone as UTC text; independent of the session's zone."""
+    return F.concat(F.replace(ts.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def _values(rows) -> str:
@@ -151,7 +155,6 @@ def deliveries(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None
     """Raw deliveries as documents, timeline included; keeps vec_id and street for later joins."""
     rows = delivery_rows(spark, sf_dir, orders)
     created = F.col("created_ts")
-    start = F.unix_timestamp(created.cast("timestamp"))
     timeline = F.transform(
         F.try_element_at(_steps(), F.col("scenario_type")),
         lambda s, i: F.struct(
@@ -159,21 +162,21 @@ def deliveries(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None
             s["type"].alias("event_type"),
             s["place"].alias("location"),
             episode.event_summary(s["type"], s["place"]).alias("summary"),
-            F.date_format(F.timestamp_seconds(start + s["sec"]), ISO).alias("timestamp")))
+            iso_text(created + F.make_dt_interval(secs=s["sec"])).alias("timestamp")))
     # a generator of one element: filters on the timeline do not pull its computation below the join
     rows = rows.select("*", F.explode(F.array(timeline)).alias("event_timeline"))
     return rows.select(
         "id", "home_id", "address", "owner_name", "status", "scenario_type", "carrier",
-        F.date_format(created - F.expr("interval 4 hours"), ISO).alias("expected_window_start"),
-        F.date_format(created - F.expr("interval 1 hour"), ISO).alias("expected_window_end"),
+        iso_text(created - F.expr("interval 4 hours")).alias("expected_window_start"),
+        iso_text(created - F.expr("interval 1 hour")).alias("expected_window_end"),
         episode.actual_delivery_time(F.col("status"), F.col("event_timeline"))
                .alias("actual_delivery_time"),
         "delivery_location",
         F.transform("event_timeline", lambda e: e["event_id"]).alias("event_ids"),
         "event_timeline", "risk_score",
         F.filter(F.split("factors_csv", ","), lambda x: x != "").alias("risk_factors"),
-        F.date_format(created, ISO).alias("created_at"),
-        F.date_format(created, ISO).alias("updated_at"),
+        iso_text(created).alias("created_at"),
+        iso_text(created).alias("updated_at"),
         "processing_status", "vec_id", "street",
     )
 
@@ -216,8 +219,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return rows.select(
         F.col("event_id").alias("id"), kind.alias("type"), "home_id", F.lit(None).cast("string").alias("device_id"),
-        F.date_format("event_ts", ISO).alias("timestamp"), "location", readings.alias("raw_data"),
-        "delivery_id", F.col("event_ts").cast("timestamp").alias("event_ts"),
+        iso_text(F.col("event_ts")).alias("timestamp"), "location", readings.alias("raw_data"),
+        "delivery_id", iso_text(F.col("event_ts")).cast("timestamp").alias("event_ts"),
     )
 
 

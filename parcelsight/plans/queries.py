@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelsight import schemas
-from parcelsight.functions.text import redact_name, risk_level
+from parcelsight.functions.text import iso_time, redact_name, risk_level
 from parcelsight.functions.vector_math import cosine_distance
 from parcelsight.operators import (
     enrich as en, episodes, feeds, joins, metrics, privacy, rag, sensors, vectors,
@@ -269,7 +269,7 @@ select home_id, strftime(min(event_ts), {ISO}) as first_event, strftime(max(even
 from numbered group by home_id, s""")
 def session_episodes(spark: SparkSession, sf: str) -> DataFrame:
     rows = episodes.session_episodes(fx.events(spark, sf), 5 * 3600)
-    return rows.withColumns({c: F.date_format(c, fx.ISO) for c in ("first_event", "last_event")})
+    return rows.withColumns({c: iso_time(F.col(c)) for c in ("first_event", "last_event")})
 
 
 @query("streamed_sessions", BASE + f"""
@@ -287,7 +287,7 @@ def streamed_sessions(spark: SparkSession, sf: str) -> DataFrame:
     feed = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).parquet(f"{root}/in")
     jobs.append_table(jobs.stream_sessions(feed, "5 hours"), f"{root}/out", f"{root}/state").awaitTermination()
     rows = spark.read.parquet(f"{root}/out")
-    return rows.select("home_id", F.date_format("first_event", fx.ISO).alias("first_event"), "n_events")
+    return rows.select("home_id", iso_time(F.col("first_event")).alias("first_event"), "n_events")
 
 
 @query("event_devices", BASE + """
@@ -646,7 +646,7 @@ def _live_feed(spark: SparkSession, sf: str, stream: bool = False) -> DataFrame:
         spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf))
     kind = (F.when(F.col("event_type") == "error", "alerts")
             .when(F.col("event_type") == "purchase", "deliveries").otherwise("events"))
-    return rows.select(F.col("ts").cast("timestamp").alias("ingest_ts"), kind.alias("collection"))
+    return rows.select(fx.iso_text(F.col("ts")).cast("timestamp").alias("ingest_ts"), kind.alias("collection"))
 
 
 TICKS_SQL = """
@@ -667,7 +667,7 @@ from t {{closed}} window w as (order by tick)"""
 @query("throughput", TICKS_SQL + THROUGHPUT_SQL.format(closed=""))
 def throughput(spark: SparkSession, sf: str) -> DataFrame:
     rows = metrics.throughput(metrics.tick_counts(_live_feed(spark, sf)))
-    return rows.withColumns({"tick": F.date_format("tick", fx.ISO), "mean_rate": F.round("mean_rate", 6)})
+    return rows.withColumns({"tick": iso_time(F.col("tick")), "mean_rate": F.round("mean_rate", 6)})
 
 
 CLOSED = "where tick + interval '1' second <= (select max(ts) - interval '10' second from events)"

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from conftest import SMALL
+from parcelsight.functions.text import iso_time
 from parcelsight.operators import enrich as en
 from parcelsight.operators import episodes, feeds, joins, metrics, sensors
 from parcelsight.operators.skew import balanced_join, heavy_keys
@@ -31,7 +32,7 @@ def skewed(spark):
         F.when(n % 100 == 1, None).when(hot, "d-hot").otherwise(F.concat(F.lit("d"), (n % 400).cast("string"))).alias("delivery_id"),
         F.lit("garage").alias("location"),
         F.timestamp_seconds(F.lit(1_700_000_000) + n * 997 % 500_000).alias("event_ts"),
-    ).withColumn("timestamp", F.date_format("event_ts", fx.ISO)).cache()
+    ).withColumn("timestamp", iso_time(F.col("event_ts"))).cache()
 
 
 def test_balanced_join_equals_plain_join(spark, skewed):

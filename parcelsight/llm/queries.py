@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelsight.llm import fingerprints, mixing, sharding
+from parcelsight.llm import (
+    fingerprints, language, mixing, packing, sharding, simhash, substrings, toxicity,
+)
 from parcelsight.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +37,40 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(documents(spark, sf_dir), [1.0] * 16)
+
+
+@query
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.hex_text(F.col("fp")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(documents(spark, sf_dir))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_digests(documents(spark, sf_dir))
+
+
+def pack_digests(docs: DataFrame) -> DataFrame:
+    """Packed pieces with a checksum in place of their ids."""
+    def digest(pieces: DataFrame) -> DataFrame:
+        return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), digest=digest)
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed",
+                        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

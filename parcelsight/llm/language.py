@@ -137,7 +137,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], languages: list[str], se
         miss = 1.0 / (len(y) + 2)
         goal = np.full((len(y), len(languages)), miss / max(1, len(languages) - 1))
         goal[np.arange(len(y)), y] = 1.0 - miss
-        grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
+        grid = np.exp(np.linspace(np.log(0.05), np.log(5000), 241))
         losses = []
         for t in grid:
             model.temperature = t

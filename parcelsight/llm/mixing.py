@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelsight.llm.common import key_text, n_words, running_start, stored, text_of
+from parcelsight.llm.common import key_text, n_words, running_start, stored
 
 ORDER_CELLS = 3             # hexadecimal digits that cut a source into 4,096 cells
 SHARDS = 64
@@ -171,29 +171,28 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), limit: fl
                         drawn.alias("draws"))
 
 
-def first_words(n: Column, text: str = "text") -> Column:
+def first_words(n: Column, text: Column) -> Column:
     """The text up to the end of its n-th word, with the spaces as they are."""
-    spaced = F.regexp_extract_all(text_of(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    spaced = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     return F.array_join(F.slice(spaced, F.lit(1), n.cast("int")), "")
 
 
 def mixed_documents(mixed: DataFrame, columns: Sequence[str], text: str = "text", chars: str = "n_chars") -> DataFrame:
-    """One document per draw, with the given columns; a draw that is cut short cuts its text."""
-    out = mixed.select("row", "size", F.explode("draws").alias("draw")).select(
-        "row.*", F.col("draw.shard").alias("_shard"), (F.col("draw.words") < F.col("size")).alias("_cut"),
-        F.col("draw.words").alias("_words"))
-    body = F.when(F.col("_cut"), first_words(F.col("_words"), text)).otherwise(F.col(text))
-    out = out.withColumn(text, body)
-    if chars in columns:
-        out = out.withColumn(chars, F.when(F.col("_cut"), F.length(text).cast("bigint")).otherwise(F.col(chars)))
-    return out.select(*columns)
+    """One document per draw, with the given columns; a draw that is cut short cuts its text and counts its
+    characters again."""
+    out = mixed.select("row", "size", F.explode("draws").alias("draw"))
+    cut, old = F.col("draw.words") < F.col("size"), F.col("row")
+    out = out.select("row", F.when(cut, first_words(F.col("draw.words"), old[text])).alias("left"))
+    left = F.col("left")
+    return out.select(*[F.coalesce(left, old[c]).alias(c) if c == text else
+                        F.coalesce(F.length(left).cast("bigint"), old[c]).alias(c) if c == chars else old[c].alias(c)
+                        for c in columns])
 
 
 def write_mix(mixed: DataFrame, path: str, seed: int = 0) -> None:
     """The drawn documents as files, one folder per shard, each file in an order drawn by hash."""
-    out = mixed.select("row", F.explode("draws").alias("draw"))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.to_json("draw"), F.lit(":"), F.to_json("row")).cast("binary"))
-    (out.select("row.*", F.col("draw.words").alias("mix_words"), F.col("draw.pass").alias("mix_pass"),
-                F.col("draw.shard").alias("mix_shard"), key.alias("_key"))
-     .hint("rebalance", "mix_shard").sortWithinPartitions("mix_shard", "_key").drop("_key")
+    out = mixed.select("row", F.explode("draws").alias("draw")).withColumn("mix_shard", F.col("draw.shard"))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.to_json("draw"), F.lit(":"), F.to_json("row")).cast("binary"))
+    (out.withColumn("order", order).hint("rebalance", "mix_shard").sortWithinPartitions("mix_shard", "order")
+     .select("row.*", "mix_shard", F.col("draw.pass").alias("mix_pass"), F.col("draw.words").alias("mix_words"))
      .write.partitionBy("mix_shard").parquet(path))

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelsight.llm import (
-    fingerprints, language, mixing, packing, sharding, simhash, substrings, toxicity,
+    fingerprints, language, mixing, packing, quality_classifier, quality_rules, sharding, simhash, substrings,
+    toxicity,
 )
 from parcelsight.llm.common import documents
 
@@ -74,3 +75,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed",
                         F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.quality_rules(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                        "nearest", "word_distance", "char_distance")
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = quality_classifier.page_sites(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return quality_classifier.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), sites)

@@ -19,7 +19,7 @@ others; no rows give no rows. Other columns are ignored.
 from __future__ import annotations
 
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -82,12 +82,12 @@ def anchor_length(window: int) -> int:
     return (window + 1) // 2
 
 
-PROBES = "part bigint, hashes binary, twice binary, blocks binary, keys binary, counts binary, places binary, done boolean"
+PROBES = "part bigint, hashes binary, more binary, twice binary, keys binary, counts binary, places binary, done boolean"
 FOUND = "key bigint, places binary"
 
 
-def _row(part=0, hashes=b"", twice=b"", blocks=b"", keys=b"", counts=b"", places=b"", done=False) -> tuple:
-    return part, hashes, twice, blocks, keys, counts, places, done
+def _row(part=0, hashes=b"", more=b"", twice=b"", keys=b"", counts=b"", places=b"", done=False) -> tuple:
+    return part, hashes, more, twice, keys, counts, places, done
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -105,13 +105,14 @@ def _by_key(docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _parts_of(keys: np.ndarray, hashes: list[np.ndarray], docs: np.ndarray, places: np.ndarray, parts: int,
               placed: np.ndarray) -> Iterator[tuple]:
-    """Rows for the shuffle from one batch's hashes (one array of 64 bits, or two for 128).
+    """Rows for the shuffle from one batch's hashes (one array of 64 bits, or two for windows).
 
     `placed` marks the entries that carry a place. Per distinct hash one entry goes on: whether it was
     seen twice or more here, and the place if there is just one. Places of hashes that were seen
     more often here are known to be repeated and go on as done.
     """
-    order = np.lexsort(hashes[::-1]) if len(hashes) > 1 else np.argsort(hashes[0], kind="stable")
+    wide = len(hashes) > 1
+    order = np.lexsort(hashes[::-1]) if wide else np.argsort(hashes[0], kind="stable")
     hashes = [h[order] for h in hashes]
     docs, places, placed = docs[order], places[order], placed[order]
     if not len(docs):
@@ -131,16 +132,16 @@ def _parts_of(keys: np.ndarray, hashes: list[np.ndarray], docs: np.ndarray, plac
     twice, docs, places = lengths > 1, docs[starts], places[starts]
     block = placed[starts] & ~twice
     part = (first[0] % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1)) if parts < len(order) else None
-    ranges = (((p, cuts[p], cuts[p + 1]) for p in range(parts) if cuts[p] < cuts[p + 1]) if cuts is not None else
-              ((int(part[order[a]]), a, b) for a, b in _runs(part[order])))
-    for p, a, b in ranges:
+    # in a range the entries with a place come first, document by document, so that a key is sent once
+    order = np.lexsort((docs, ~block, part))
+    for a, b in _runs(part[order]):
         at = order[a:b]
-        own = at[block[at]]
-        yield _row(part=p, hashes=np.stack([_short(h[at], parts, len(first)) for h in first], axis=1).tobytes(),
-                   twice=np.packbits(twice[at]).tobytes(), blocks=np.packbits(block[at]).tobytes(),
-                   keys=keys[docs[own]].tobytes(), places=places[own].astype(np.uint32).tobytes())
+        own = at[:np.count_nonzero(block[at])]
+        found, counts = np.unique(docs[own], return_counts=True)
+        yield _row(part=int(part[at[0]]), hashes=(first[0][at] if wide else _short(first[0][at])).tobytes(),
+                   more=_short(first[1][at]).tobytes() if wide else b"", twice=np.packbits(twice[at]).tobytes(),
+                   keys=keys[found].tobytes(), counts=counts.astype(np.uint32).tobytes(),
+                   places=places[own].astype(np.uint32).tobytes())
 
 
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -148,39 +149,43 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)])
 
 
-def _short(h: np.ndarray, parts: int, wide: int) -> np.ndarray:
-    """Anchors only choose candidates, so 32 bits beside the hash range do; windows keep all bits."""
-    return h if wide > 1 else (h >> np.uint64(32)).astype(np.uint32)
+def _short(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
 def repeated(group: pa.Table, wide: bool) -> pa.Table:
-    """(key, places) of the placed entries of a hash range whose hash was seen more than once."""
-    keys, at = [], []
-    hashes, twice, block, own_keys, own_places = [], [], [], [], []
+    """(key, places) of the placed entries of a hash range whose hash was seen more than once.
+
+    Anchors only choose candidates: 32 bits beside the range tell them apart. Windows, which decide, have 96.
+    """
+    keys, at, hashes, more, twice, placed, own_keys, own_places = [], [], [], [], [], [], [], []
     for row in group.to_pylist():
+        owners = np.repeat(np.frombuffer(row["keys"], dtype=np.int64), np.frombuffer(row["counts"], dtype=np.uint32))
+        places = np.frombuffer(row["places"], dtype=np.uint32)
         if row["done"]:
-            counts = np.frombuffer(row["counts"], dtype=np.uint32)
-            keys.append(np.repeat(np.frombuffer(row["keys"], dtype=np.int64), counts))
-            at.append(np.frombuffer(row["places"], dtype=np.uint32))
+            keys.append(owners)
+            at.append(places)
             continue
-        h = np.frombuffer(row["hashes"], dtype=np.uint64).reshape(-1, 2) if wide else np.frombuffer(row["hashes"], dtype=np.uint32)
+        h = np.frombuffer(row["hashes"], dtype=np.uint64 if wide else np.uint32)
         hashes.append(h)
+        more.append(np.frombuffer(row["more"], dtype=np.uint32))
         twice.append(np.unpackbits(np.frombuffer(row["twice"], dtype=np.uint8), count=len(h)))
-        block.append(np.unpackbits(np.frombuffer(row["blocks"], dtype=np.uint8), count=len(h)))
-        own_keys.append(np.frombuffer(row["keys"], dtype=np.int64))
-        own_places.append(np.frombuffer(row["places"], dtype=np.uint32))
+        placed.append(np.arange(len(h)) < len(places))
+        own_keys.append(owners)
+        own_places.append(places)
     if hashes:
-        h, twice = np.concatenate(hashes), np.concatenate(twice).astype(bool)
-        block = np.concatenate(block).astype(bool)
-        order = np.lexsort((h[:, 1], h[:, 0])) if wide else np.argsort(h, kind="stable")
-        h = h[order]
+        h, twice, placed = np.concatenate(hashes), np.concatenate(twice), np.concatenate(placed)
+        more = np.concatenate(more)
+        order = np.lexsort((more, h)) if wide else np.argsort(h, kind="stable")
         new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]).any(axis=1) if wide else h[1:] != h[:-1]
+        new[1:] = h[order][1:] != h[order][:-1]
+        if wide:
+            new[1:] |= more[order][1:] != more[order][:-1]
         number = np.cumsum(new) - 1
-        seen = np.bincount(number, minlength=1) + np.bincount(number, weights=twice[order], minlength=1)
+        seen = np.bincount(number) + np.bincount(number, weights=twice[order])
         again = np.zeros(len(h), dtype=bool)
         again[order] = seen[number] > 1
-        hit = again[block]
+        hit = again[placed]
         keys.append(np.concatenate(own_keys)[hit])
         at.append(np.concatenate(own_places)[hit])
     keys = np.concatenate(keys) if keys else np.empty(0, np.int64)
@@ -225,7 +230,8 @@ def _probe(window: int, parts: int):
 
 
 def _candidates(window: int, parts: int):
-    """Whole windows around anchors; the column `blobs` lists the anchors' block numbers."""
+    """Whole windows around anchors; the column `blobs` lists the anchors' block numbers. (The id is not used: with
+    the same columns as the later read of the dealt rows, both use one shuffle.)"""
     length = anchor_length(window)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,15 +266,16 @@ def _candidates(window: int, parts: int):
     return each
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, key, text, starts): every row with the starts of its windows that also start elsewhere, as
-    binary arrays of 32-bit numbers, or null.
+def repeated_windows(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text",
+                     carried: Sequence[str] = ()) -> DataFrame:
+    """(id, key, text, starts) and the carried columns: every row with the starts of its windows that also start
+    elsewhere, as binary arrays of 32-bit numbers, or null.
 
     `key` tells rows apart within the operator; rows of one id and one text share it, and so their windows.
     """
     body = text_of(text)
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.xxhash64(F.col(key), body).alias("key"),
-                       body.cast("binary").alias("text"))
+                       body.cast("binary").alias("text"), *carried)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(16, int(total / CHARS_PER_WORD / PART_ENTRIES) + 1)
     probes = rows.select("key", "text").mapInArrow(_probe(window, parts), PROBES)
@@ -276,10 +283,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
     anchors = anchors.groupBy("key").agg(F.collect_list("places").alias("blobs"))
     # the text is dealt by key once; the second join below reads the same shuffle again
     dealt = rows.repartition("key")
-    candidates = dealt.join(anchors, "key").select("key", "text", "blobs").mapInArrow(_candidates(window, parts), PROBES)
+    candidates = dealt.join(anchors, "key").select("key", "text", "blobs", "id", *carried).mapInArrow(_candidates(window, parts), PROBES)
     spans = candidates.groupBy("part").applyInArrow(lambda t: repeated(t, True), FOUND)
     spans = spans.groupBy("key").agg(F.collect_list("places").alias("starts"))
-    return dealt.join(spans, "key", "left").select("id", "key", "text", "starts")
+    return dealt.join(spans, "key", "left").select("id", "key", "text", "starts", *carried)
 
 
 def kept(words: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -310,3 +317,32 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     return found.mapInArrow(each, f"{key} bigint, n_words bigint, n_removed bigint, kept string")
 
 
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text",
+                    chars: str = "n_chars") -> DataFrame:
+    """The documents with all of their columns; where words went, the text is what is left, joined by one space,
+    and the column `chars`, if there is one, is its length. A text that loses nothing stays as it is."""
+    others = F.struct(F.col(text).isNull().alias("no_text"), F.struct(*[c for c in docs.columns if c != text]).alias("columns"))
+    rows = docs.select(others.alias("others"), F.col(key).alias("_id"), F.col(text).alias("_text"))
+    found = repeated_windows(rows, window, "_id", "_text", ["others"]).select("others", "text", "starts")
+    schema = found.select("others", F.lit(None).cast("string").alias("left"), F.lit(None).cast("boolean").alias("cut")).schema
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, cut = [], []
+            for body, starts in zip(batch.column(1), batch.column(2)):
+                data, at = body.as_py(), _places(starts.as_py())
+                if len(at):
+                    words = data.split()
+                    keep = kept(len(words), at, window)
+                    data = b" ".join([w for w, k in zip(words, keep.tolist()) if k])
+                left.append(data.decode("utf-8"))
+                cut.append(len(at) > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string()), pa.array(cut)], ["others", "left", "cut"])
+
+    out = found.mapInArrow(each, schema)
+    body = F.when(~F.col("others.no_text"), F.col("left"))
+    length = F.when(F.col("cut"), F.length("left").cast("bigint"))
+    return out.select(*[body.alias(c) if c == text else F.coalesce(length, F.col("others.columns")[c]).alias(c) if c == chars
+                        else F.col("others.columns")[c].alias(c) for c in docs.columns])

@@ -3,9 +3,10 @@
 Two fingerprints that differ in at most r bits have a value between them that is within half of r of both.
 So every distinct fingerprint stands for the ball of all values within half the radius, fingerprints are shuffled on
 these variants, and those that meet on a variant are linked. A ball has 2,081 values at r = 4: too many to ship
-one by one. The shuffle key is therefore a linear hash (a syndrome) of the variant, for which the flips
-that lead a fingerprint into a bucket can be told without trying: a bucket gets the fingerprint once and makes
-there all of its variants that belong to the bucket. The number of buckets follows the number of fingerprints.
+one by one. The shuffle key is therefore a part of the variant, some of its bits: most flips leave them alone, so of b
+bits a ball touches only 1 + b + b (b - 1) / 2 values. A bucket gets the fingerprint once and makes there all of its
+variants that belong to the bucket. The number of buckets follows the number of fingerprints, and with it the
+variants that one task holds stay the same; a bucket that is fuller than the rest is gone through in parts.
 
 All fingerprints on one variant are within r of each other (one of them within r // 2, if r is odd), so a group is
 linked as a star around its least one, not as all pairs; every link is verified by its distance all the
@@ -35,6 +36,7 @@ SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
 VARIANTS_PER_BUCKET = 1 << 21   # about 50 MB in a task
+LEAST_BITS = 8                  # at least 256 buckets
 CHUNK = 1 << 16                 # shingles, or fingerprints times buckets in units of 64, handled at once
 
 
@@ -82,12 +84,19 @@ def flips(radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(masks, dtype=np.uint64), np.array(weights) <= radius // 2
 
 
-def syndrome_table(bits: int) -> np.ndarray:
-    """(8, 256): the share of every byte value at every place in a linear hash of `bits` bits."""
-    columns = np.random.default_rng(64).integers(0, 1 << max(bits, 1), size=64, dtype=np.uint32)
-    if bits == 0:
-        columns[:] = 0
-    table = np.zeros((8, 256), dtype=np.uint32)
+def syndrome_table(bits: int, finer: int = 0) -> np.ndarray:
+    """(8, 256): the share of every byte value at every place in a linear hash of bits + finer bits.
+
+    The first `bits` are just that many of the fingerprint's own bits, at scattered places: most flips do not touch
+    them and stay in the bucket, so a fingerprint has variants in few buckets. The finer bits are parities of
+    random halves of all places.
+    """
+    rng = np.random.default_rng(64)
+    columns = np.zeros(64, dtype=np.uint64)
+    columns[rng.permutation(64)[:bits]] = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+    if finer:
+        columns |= rng.integers(0, 1 << finer, size=64, dtype=np.uint64) << np.uint64(bits)
+    table = np.zeros((8, 256), dtype=np.uint64)
     for place in range(8):
         for bit in range(8):
             table[place, (np.arange(256) >> bit) & 1 == 1] ^= columns[8 * place + bit]
@@ -115,19 +124,32 @@ def to_buckets(values: np.ndarray, table: np.ndarray, steps: np.ndarray) -> Iter
             yield int(places[a]), owners[a:b].tobytes()
 
 
-def meet(values: np.ndarray, bucket: int, table: np.ndarray, masks: np.ndarray, near: np.ndarray) -> np.ndarray:
+def meet(values: np.ndarray, bucket: int, bits: int, masks: np.ndarray, near: np.ndarray,
+         limit: int = VARIANTS_PER_BUCKET) -> np.ndarray:
     """(n, 2): for every variant of the bucket that several fingerprints share, the links of the others to the
-    least one that is near."""
+    least one that is near. A bucket with more variants than `limit` is gone through in finer parts."""
     values = np.unique(values)
+    table = syndrome_table(bits)
+    own, steps = syndromes(values, table), np.sort(syndromes(masks, table))
+    wanted = own ^ np.uint64(bucket)
+    variants = int((np.searchsorted(steps, wanted, "right") - np.searchsorted(steps, wanted, "left")).sum())
+    finer = max(0, int(np.ceil(np.log2(max(1, variants) / limit))))
+    table = syndrome_table(bits, finer)
+    found = [_meet(values, bucket | part << bits, table, masks, near) for part in range(1 << finer)]
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _meet(values: np.ndarray, bucket: int, table: np.ndarray, masks: np.ndarray, near: np.ndarray) -> np.ndarray:
     own, steps = syndromes(values, table), syndromes(masks, table)
     by_value, by_mask = np.argsort(own, kind="stable"), np.argsort(steps, kind="stable")
     own, steps = own[by_value], steps[by_mask]
     variants, owners, close = [], [], []
     for step in np.unique(steps):
-        a, b = np.searchsorted(own, [bucket ^ int(step), (bucket ^ int(step)) + 1])
+        wanted = np.uint64(bucket ^ int(step))
+        a, b = np.searchsorted(own, wanted, "left"), np.searchsorted(own, wanted, "right")
         if a == b:
             continue
-        c, d = np.searchsorted(steps, [step, step + 1])
+        c, d = np.searchsorted(steps, step, "left"), np.searchsorted(steps, step, "right")
         held, flip = values[by_value[a:b]], by_mask[c:d]
         variants.append((held[:, None] ^ masks[flip][None, :]).ravel())
         owners.append(np.repeat(held, d - c))
@@ -155,7 +177,8 @@ def links(nodes: DataFrame, radius: int = MAX_BITS) -> DataFrame:
     chains of at most `radius` differing bits connect."""
     masks, near = flips(radius)
     wanted = nodes.count() * len(masks) / VARIANTS_PER_BUCKET
-    table = syndrome_table(min(31, max(0, int(np.ceil(np.log2(max(wanted, 1)))))))
+    bits = min(40, max(LEAST_BITS, int(np.ceil(np.log2(max(wanted, 1))))))
+    table = syndrome_table(bits)
     steps = np.unique(syndromes(masks, table))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +191,7 @@ def links(nodes: DataFrame, radius: int = MAX_BITS) -> DataFrame:
 
     def join(group: pa.Table) -> pa.Table:
         held = np.frombuffer(b"".join(v.as_py() for v in group.column("values")), dtype=np.uint64)
-        found = meet(held, group.column("bucket")[0].as_py(), table, masks, near).view(np.int64)
+        found = meet(held, group.column("bucket")[0].as_py(), bits, masks, near).view(np.int64)
         return pa.table({"a": np.ascontiguousarray(found[:, 0]), "b": np.ascontiguousarray(found[:, 1])})
 
     met = (nodes.select("fp").mapInArrow(emit, "bucket bigint, values binary")
@@ -225,3 +248,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     least = joined.groupBy("root").agg(F.min("first").alias("component"))
     labels = joined.join(least, "root").select("fp", "component")
     return balanced_join(marked, labels, "fp", key).select(key, "fp", "component")
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = MAX_BITS) -> DataFrame:
+    """One row of every component, with all of its columns: the least id, of rows that share it the one with
+    the least hash, and of identical rows any one.
+
+    Fingerprints, component by component, decide on narrow rows; the documents are joined with the ids that stay.
+    """
+    chosen = F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("id"))
+    firsts = (near_duplicates(docs, key, text, k, radius).groupBy("component").agg(F.min(chosen).alias("first"))
+              .select(F.coalesce(F.col("first.id").cast("string"), F.lit("none")).alias("_key")).distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("bigint").cast("string"), F.lit("none")).alias("_key"))
+    kept = rows.join(stored(firsts, "simhash-first"), "_key", "left_semi")
+    # rows that share an id are one document here
+    return kept.groupBy("_key").agg(F.min_by("row", F.xxhash64(f"row.{text}")).alias("row")).select("row.*")

@@ -20,6 +20,7 @@ from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,10 @@ CAPACITY = 4096
 END = 1
 RANK_CELLS = 4096
 CACHED_CHUNKS = 200_000
+CACHED_CORES = 500_000
+STOPS = b".,;:!?"
+GROUP_BYTES = 4 << 20
+MARKS = "\u2665\u2605\u2022\u20ac\u00a3\u2026"    # symbols of which the tokenizer has one as a single id
 
 
 # ---- tokens -------------------------------------------------------------------------------------
@@ -39,24 +44,87 @@ CACHED_CHUNKS = 200_000
 class Chunks(dict):
     """Chunk between ASCII white space -> its ids as little-endian bytes; forgets all when it is full.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its chunks' ids in a row.
+    The tokenizer drops white space and never joins across it, so a text's ids are its chunks' ids in a row. Chunks
+    that are not known yet are encoded together, hundreds to a text, with a mark between them whose one id
+    shows where each ends.
     """
 
     def __init__(self, path: str):
         super().__init__()
+        self.cores: dict[bytes, bytes] = {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.encode = Tokenizer.from_file(path).encode
+        self.tokenizer = Tokenizer.from_file(path)
+        single = [(m, self._alone(m)[0]) for m in MARKS if len(self._alone(m)) == 1]
+        if not single:
+            raise ValueError(f"the tokenizer has no single id for any of {MARKS}")
+        self.mark, self.mark_id = single[0]
+
+    def _alone(self, chunk: str) -> list[int]:
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
 
     def __missing__(self, chunk: bytes) -> bytes:
+        found = self[chunk] = np.array(self._alone(chunk.decode("utf-8")), dtype="<u4").tobytes()
+        return found
+
+    def learn(self, chunks: list[bytes]) -> None:
+        """Chunks are lower-cased, and ASCII stops after an ASCII letter are tokens of their own: so most chunks are a
+        known core and stops."""
+        parts = [_core(c) for c in chunks]
+        self._encode(list({x for p in parts for x in p if x}.difference(self.cores)))
+        for chunk, (core, stops) in zip(chunks, parts):
+            if core in self.cores and (not stops or stops in self.cores):
+                self[chunk] = self.cores[core] + (self.cores[stops] if stops else b"")
+
+    def _encode(self, cores: list[bytes]) -> None:
+        mark = self.mark.encode()
+        cores = [c for c in cores if mark not in c]         # the others are encoded alone, when they are met
+        runs = [cores[i:i + 256] for i in range(0, len(cores), 256)]
+        between = b" " + mark + b" "
+        encoded = self.tokenizer.encode_batch_fast([between.join(r).decode("utf-8") for r in runs], add_special_tokens=False)
+        for run, e in zip(runs, encoded):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
+            if len(ends) != len(run):
+                continue                                    # some core has the mark's id after all
+            data, start = ids.tobytes(), 0
+            for core, end in zip(run, ends):
+                self.cores[core] = data[4 * start:4 * end]
+                start = end + 1
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
         if len(self) >= CACHED_CHUNKS:
             self.clear()
-        ids = self.encode(chunk.decode("utf-8"), add_special_tokens=False).ids
-        found = self[chunk] = np.array(ids, dtype="<u4").tobytes()
-        return found
+        if len(self.cores) >= CACHED_CORES:
+            self.cores.clear()
+        self.learn(list(set().union(*split).difference(self)))
+        return [b"".join(map(self.__getitem__, words)) for words in split]
+
+
+def _core(chunk: bytes) -> tuple[bytes, bytes]:
+    low = chunk.lower()
+    core = low.rstrip(STOPS)
+    return (core, low[len(core):]) if core and 97 <= core[-1] <= 122 else (low, b"")
+
+
+@cache
+def chunks_of(path: str) -> Chunks:
+    """One cache per worker process: what one task has learned serves the next."""
+    return Chunks(path)
+
 
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
+    """Keys and texts, a few megabytes at a time."""
+    keys, texts, size = [], [], 0
+    for k, t in zip(batch.column(0), batch.column(1)):
+        keys.append(k.as_py()), texts.append(t.as_py())
+        size += len(texts[-1])
+        if size >= GROUP_BYTES:
+            yield keys, texts
+            keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END,
@@ -69,20 +137,16 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, e
     last, step = np.array([end], dtype="<u4").tobytes(), 4 * capacity
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(tokenizer)
+        chunks = chunks_of(tokenizer)
         for batch in batches:
-            keys, pieces, starts, lengths, blobs, held = [], [], [], [], [], 0
-            for k, body in zip(batch.column(0), batch.column(1)):
-                ids, k = chunks.ids(body.as_py()) + last, k.as_py()
-                for piece, at in enumerate(range(0, len(ids), step)):
-                    blob = ids[at:at + step]
-                    keys.append(k), pieces.append(piece), starts.append(at // 4)
-                    lengths.append(len(blob) // 4), blobs.append(blob)
-                held += len(ids)
-                if held >= 32 << 20:
-                    yield _piece_batch(key, keys, pieces, starts, lengths, blobs)
-                    keys, pieces, starts, lengths, blobs, held = [], [], [], [], [], 0
-            if keys:
+            for ids_of, texts in _groups(batch):
+                keys, pieces, starts, lengths, blobs = [], [], [], [], []
+                for k, ids in zip(ids_of, chunks.ids(texts)):
+                    ids += last
+                    for piece, at in enumerate(range(0, len(ids), step)):
+                        blob = ids[at:at + step]
+                        keys.append(k), pieces.append(piece), starts.append(at // 4)
+                        lengths.append(len(blob) // 4), blobs.append(blob)
                 yield _piece_batch(key, keys, pieces, starts, lengths, blobs)
 
     return rows.mapInArrow(each, f"{key} bigint, piece int, start bigint, length bigint, ids binary")

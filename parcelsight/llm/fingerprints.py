@@ -2,7 +2,7 @@
 
 Every shingle is hashed once. The top bits of the hash name a bin, and a bin keeps its least hash. An
 empty bin borrows from the first filled bin of a fixed random order of its own, so that two texts
-borrow from the same bin whenever both have filled it. Of every bin only the lowest bits are stored, packed into
+borrow from the same bin whenever both have filled it. Of every bin only low-order bits are stored, packed into
 longs. Two bins agree by chance with probability 1 / 2^bits, and `likeness` takes that share off again.
 
 A text is one array in one row: hashes and one sentinel per bin are sorted together, and the first value of every
@@ -64,6 +64,9 @@ def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
     def joined(left: Column, right: Column, step: int) -> Column:
         return bound(right, lambda r: F.transform(left, lambda x, i: F.xxhash64(x, F.get(r, i + F.lit(step)))))
 
+    def doubled(run: Column, size: int) -> Column:
+        return bound(run, lambda r: joined(r, r, size))
+
     def runs(h: Column) -> Column:
         out, length, power, size = None, 0, h, 1
         while True:
@@ -71,7 +74,7 @@ def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
                 out, length = (power, size) if out is None else (joined(out, power, length), length + size)
             if length == k:
                 return F.slice(out, F.lit(1), F.size(h) - F.lit(k - 1))
-            power, size = bound(power, lambda p, size=size: joined(p, p, size)), size * 2
+            power, size = doubled(power, size), size * 2
 
     def hashed(w: Column) -> Column:
         words = F.transform(w, lambda x: F.xxhash64(x))
@@ -97,9 +100,8 @@ def fingerprint(text: Column, k: int = SHINGLE, bin_bits: int = BIN_BITS, bits:
         return F.filter(s, lambda x, i: (i == 0) | (F.shiftright(x, shift) != F.shiftright(F.get(s, i - 1), shift)))
 
     def marked(least: Column) -> Column:
-        """Low bits of every bin, null where it is empty."""
-        return F.transform(least, lambda x, i: F.when(
-            x != F.get(sentinels, i), x.bitwiseAND(F.lit(low).cast("bigint"))))
+        """The least hash of every bin, null where it is empty."""
+        return F.transform(least, lambda x, i: F.when(x != F.get(sentinels, i), x))
 
     def dense(b: Column) -> Column:
         near = F.transform(b, lambda x, i: F.coalesce(x, *[F.get(b, F.get(p, i)) for p in probes]))
@@ -107,6 +109,11 @@ def fingerprint(text: Column, k: int = SHINGLE, bin_bits: int = BIN_BITS, bits:
             F.filter(F.get(orders, i), lambda j: F.get(b, j).isNotNull()), F.lit(0)))))
         return bound(near, lambda d: F.when(F.exists(d, lambda x: x.isNull()), far(d)).otherwise(d))
 
+    def lowest(d: Column) -> Column:
+        """Low bits, of a hash of the bin and its value: bins that borrowed one value must not agree or differ
+        by chance all together."""
+        return F.transform(d, lambda x, i: F.xxhash64(x, i).bitwiseAND(F.lit(low).cast("bigint")))
+
     def packed(d: Column) -> Column:
         starts = F.lit(list(range(0, bins, per_long)))
         return F.transform(starts, lambda at: F.aggregate(
@@ -115,7 +122,7 @@ def fingerprint(text: Column, k: int = SHINGLE, bin_bits: int = BIN_BITS, bits:
 
     def whole(h: Column) -> Column:
         sorted_ = F.sort_array(F.concat(h, sentinels))
-        full = bound(bound(bound(bound(sorted_, leasts), marked), dense), packed)
+        full = bound(bound(bound(bound(bound(sorted_, leasts), marked), dense), lowest), packed)
         return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(full)
 
     return bound(shingle_hashes(text, k), whole)

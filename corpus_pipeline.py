@@ -1,24 +1,56 @@
-"""The corpus pipeline: each stage works on everything that the stage before it kept."""
+"""The corpus pipeline: each stage works on everything that the stage before it kept.
+
+A stage takes the documents as they are then and returns documents with the same columns; the last returns packed
+pieces. Every stage's rows are stored before the next one reads them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parcelsight.llm import mixing
+from parcelsight.llm import mixing, simhash, substrings, toxicity
 from parcelsight.llm.common import documents, stored
+from parcelsight.llm.queries import pack_digests
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator predicts toxic go."""
+    return toxicity.keep_ordinary(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near-duplicates the row with the least id stays."""
+    return simhash.keep_first(docs)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words inside repeated passages go; a text that loses none stays as it is."""
+    return substrings.without_repeats(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document comes as often as the mix takes it, its last copy cut where its source's quota ends."""
     return mixing.mixed_documents(mixing.mix_sources(docs), docs.columns)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_digests(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_duplicates),
+    ("substring dedup", drop_repeats),
     ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack),
 ]
+
+# Models, hashes and a tokenizer decide the rows; the stages are tested one by one against brute force.
 ORACLE_SQL = None
 
 

@@ -28,7 +28,6 @@ MAX_QUERY_VALUES = 8_000_000      # doubles sent to every task: 64 MB
 TILE_ROWS = 20_000                # corpus rows per task when the queries are too many to send around
 QUERY_STRIPE = 256                # queries per matrix product, bounds task memory
 TASKS_PER_CORE = 4                # tasks of a corpus scan
-TRAIN_PER_CELL = 1_024            # rows per cell that the centres are fitted on
 
 INDEX_COLUMNS = ("id", "embedding", "is_ai_ready", "carrier", "scenario_type", "status", "risk_score")
 
@@ -43,17 +42,22 @@ def hashed_embedding(text: Column, dim: int = 256) -> Column:
 
 
 def hosted_embedding(embedder: Embedder) -> Callable[[Column], Column]:
-    """Column function around a batch callable. A text it fails on gets null and is not tried again."""
+    """Column function around a batch callable. A batch it fails on is halved until the text at fault
+    stands alone; that one gets null and its row stays not ready."""
+
+    def found_for(batch: list[str]) -> list:
+        try:
+            return list(embedder(batch))
+        except Exception:
+            if len(batch) < 2:
+                log.exception("embedding failed for a text")
+                return [None] * len(batch)
+            half = len(batch) // 2
+            return found_for(batch[:half]) + found_for(batch[half:])
 
     @F.arrow_udf("array<float>")
     def vectors(texts: pa.Array) -> pa.Array:
-        batch = texts.to_pylist()
-        try:
-            found = embedder(batch)
-        except Exception:  # the row stays not ready, as for any other failed call
-            log.exception("embedding failed for %d texts", len(batch))
-            found = [None] * len(batch)
-        return pa.array([None if v is None else [float(x) for x in v] for v in found],
+        return pa.array([None if v is None else [float(x) for x in v] for v in found_for(texts.to_pylist())],
                         type=pa.list_(pa.float32()))
 
     return vectors
@@ -205,18 +209,22 @@ def topk_batch(queries: DataFrame, corpus: DataFrame, k: int = 10,
 
     Each task multiplies its corpus batches with the query matrix and hands on k rows per query, so
     pairs are never materialised. Queries are sent to all tasks only when they fit `max_values`;
-    beyond that both sides are cut into bounded tiles, and tiles meet in tasks.
+    beyond that both sides are cut into bounded tiles, and tiles meet in tasks. Queries of several widths take
+    a pass per width, each over the corpus rows of that width.
     """
     queries = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
     schema = _pair_schema(queries, corpus)
-    width = queries.select(F.array_size("embedding").alias("d")).first()
-    if width is None:
+    size = F.array_size("embedding")
+    widths = sorted(r["d"] for r in queries.where(size > 0).select(size.alias("d")).distinct().collect())
+    if not widths:
         return _merge(corpus.sparkSession.createDataFrame([], schema), k)
-    limit = max(max_values // max(width["d"], 1), 1)
-    rows = queries.where(F.array_size("embedding") == width["d"]).limit(limit + 1).toArrow()
-    if rows.num_rows <= limit:
-        return _scan(corpus, *_sent_queries(rows, width["d"]), k, schema)
-    return _topk_tiled(queries, corpus, k, limit, tile_rows, schema, width["d"])
+    passes = []
+    for width in widths:
+        mine, limit = queries.where(size == width), max(max_values // width, 1)
+        rows = mine.limit(limit + 1).toArrow()
+        passes.append(_scan(corpus, *_sent_queries(rows, width), k, schema) if rows.num_rows <= limit
+                      else _topk_tiled(mine, corpus, k, limit, tile_rows, schema, width))
+    return reduce(DataFrame.unionByName, passes)
 
 
 def _topk_tiled(queries, corpus, k, block_rows, tile_rows, schema, dim) -> DataFrame:
@@ -245,15 +253,10 @@ def _topk_tiled(queries, corpus, k, block_rows, tile_rows, schema, dim) -> DataF
 
 # ---- cells (IVF) --------------------------------------------------------------------------------
 
-def train_cells(corpus: DataFrame, n_cells: int, seed: int = 7, max_iter: int = 10,
-                train_per_cell: int = TRAIN_PER_CELL) -> KMeansModel:
-    """Cell centres, which settle on about a thousand rows per cell and are fitted on that share.
-    Every row is still assigned to a cell and can be found."""
+def train_cells(corpus: DataFrame, n_cells: int, seed: int = 7, max_iter: int = 10) -> KMeansModel:
+    """Cell centres, fitted on all rows."""
     vectors = corpus.where(F.array_size("embedding") > 0).select(
         array_to_vector("embedding").alias("features"))
-    total, enough = vectors.count(), n_cells * train_per_cell
-    if total > enough:
-        vectors = vectors.sample(fraction=enough / total, seed=seed)
     return KMeans(k=n_cells, distanceMeasure="cosine", seed=seed, maxIter=max_iter).fit(vectors)
 
 

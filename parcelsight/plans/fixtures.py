@@ -70,8 +70,12 @@ def _values(rows) -> str:
         "(" + ", ".join(str(v) if isinstance(v, int) else f"'{v}'" for v in row) + ")" for row in rows)
 
 
-def fixture_sql(orders: str = "orders", customer: str = "customer") -> str:
-    """WITH prefix that defines raw_deliveries, raw_events and homes."""
+# one number in twenty names no vector, so that some deliveries stay without one
+VECTOR_NUMBERS = "(select count(*) + count(*) // 20 + 1 from embeddings)"
+
+
+def fixture_sql(orders: str = "orders", customer: str = "customer", vector_numbers: str = VECTOR_NUMBERS) -> str:
+    """WITH prefix that defines raw_deliveries, raw_events and homes. Vectors are dealt over all of `embeddings`."""
     scen = _values((s, st, place, lo, hi, fac, al) for s, _, st, place, lo, hi, fac, al in SCENARIOS)
     tmpl = _values((s, i, *e) for s, events in TEMPLATE.items() for i, e in enumerate(events))
     buckets = " ".join(f"when bucket < {bound} then '{s}'" for s, bound, *_ in SCENARIOS)
@@ -97,7 +101,7 @@ with scen as (
     s.factors_csv, s.alert_type,
     o_orderdate + (o_orderkey % 86400) * interval '1' second as created_ts,
     case when (o_orderkey * 17) % 89 < 9 then 'processed' else 'pending' end as processing_status,
-    o_orderkey, o_orderkey % 500 as vec_id
+    o_orderkey, o_orderkey % {vector_numbers} as vec_id
   from pick p join scen s on p.scen = s.scenario_type
 ), tmpl as (
   select * from (values {tmpl}) as t(scenario_type, ord, event_type, location, offset_sec)
@@ -136,7 +140,8 @@ def _spread(df: DataFrame, key: str) -> DataFrame:
 
 def _run(spark: SparkSession, sf_dir: str, select: str, orders: DataFrame | None = None) -> DataFrame:
     orders = _spread(table(spark, sf_dir, "orders") if orders is None else orders, "o_orderkey")
-    return spark.sql(fixture_sql("{orders}", "{customer}") + select,
+    vectors = table(spark, sf_dir, "embeddings").count()
+    return spark.sql(fixture_sql("{orders}", "{customer}", str(vectors + vectors // 20 + 1)) + select,
                      orders=orders, customer=table(spark, sf_dir, "customer"))
 
 

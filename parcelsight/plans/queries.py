@@ -343,8 +343,8 @@ def alert_context(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- predicates ---------------------------------------------------------------------------------
 
-@query("search_filter", BASE + """
-select id, carrier, scenario_type, status, risk_score from px
+@query("search_filter", VECTORS + """
+select id, carrier, scenario_type, status, risk_score from ready
 where carrier = 'UPS' and scenario_type = 'package_behind_car' and status = 'completed_risk'
   and risk_score >= 0.45 and risk_score < 0.75""")
 def search_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -353,12 +353,12 @@ def search_filter(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", "carrier", "scenario_type", "status", "risk_score")
 
 
-@query("risk_bands", BASE + """
-select 'critical' as band, id from px where risk_score >= 0.75
-union all select 'high', id from px where risk_score >= 0.45 and risk_score < 0.75
-union all select 'medium', id from px where risk_score >= 0.2 and risk_score < 0.45
-union all select 'low', id from px where risk_score < 0.2
-union all select 'none', id from px""")
+@query("risk_bands", VECTORS + """
+select 'critical' as band, id from ready where risk_score >= 0.75
+union all select 'high', id from ready where risk_score >= 0.45 and risk_score < 0.75
+union all select 'medium', id from ready where risk_score >= 0.2 and risk_score < 0.45
+union all select 'low', id from ready where risk_score < 0.2
+union all select 'none', id from ready""")
 def risk_bands(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.ai_ready(spark, sf)
     hit = [F.when(feeds.search_predicate(risk_level=b), b) for b in ("critical", "high", "medium", "low", "none")]
@@ -717,6 +717,22 @@ def redact_patterns(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", "note", *[F.col(f"{k}_hits").cast("bigint").alias(f"{k}_hits") for k in privacy.PATTERNS])
 
 
+@query("redacted_documents", r"""
+select doc_id, len(regexp_extract_all(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b')) as ssn_hits,
+  len(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) as email_hits,
+  len(regexp_extract_all(text, '\b[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}\b')) as phone_hits,
+  md5(regexp_replace(regexp_replace(regexp_replace(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', '[SSN]', 'g'),
+    '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '[EMAIL]', 'g'),
+    '\b[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}\b', '[PHONE]', 'g')) as text_md5
+from (select doc_id, coalesce(text, '') as text from documents)""")
+def redacted_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Contact data masked in the whole texts of the document corpus."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = privacy.redact_patterns(docs, "text")
+    return rows.select("doc_id", *[F.col(f"{k}_hits").cast("bigint").alias(f"{k}_hits") for k in privacy.PATTERNS],
+                       F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @query("geo_tags", BASE + """
 select d.id, h.latitude, h.longitude, cast(floor(h.latitude / 0.05) as bigint) as lat_cell,
   cast(floor(h.longitude / 0.05) as bigint) as lon_cell from raw_deliveries d join homes h on d.home_id = h.id""")

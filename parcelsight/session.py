@@ -36,11 +36,13 @@ def build_session(app: str = "parcelsight", master: str | None = None, **conf: s
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder the session names.
 
-    Only where the session names none (a local test) is a temporary folder chosen and recorded in
-    the session, so that later calls agree on it.
+    Only in a local session that names none is a temporary folder chosen and recorded in the session, so
+    that later calls agree on it; on a cluster a machine's own folder would lose rows without an error.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="parcelsight-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"

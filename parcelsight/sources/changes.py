@@ -29,9 +29,9 @@ def current_rows(log: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def compact(log: DataFrame, key: str, order: list[str], path: str) -> None:
-    """Write the state of a change log as a snapshot that can stand in for the log so far."""
-    state = upsert_latest(log, key, order).where(F.col("op") != DELETE)
-    state.write.mode("overwrite").parquet(path)
+    """Write the newest entry of every key as a snapshot that can stand in for the log so far. Deletes stay
+    in it with their order, so that an older change that comes late does not bring a row back."""
+    upsert_latest(log, key, order).write.mode("overwrite").parquet(path)
 
 
 def apply_deletes(processed: DataFrame, tombstones: DataFrame, key: str = "id") -> DataFrame:
@@ -45,11 +45,23 @@ def merge_changes(current: DataFrame, changes: DataFrame, key: str, order: list[
 
 
 def route_by_collection(mixed: DataFrame, collection: str, schema) -> DataFrame:
-    """The documents of one collection out of a mixed (collection, key, value) frame."""
-    rows = mixed.where(F.col("collection") == collection)
+    """The documents of one collection out of a mixed (collection, key, value) frame; those that are
+    no JSON are left to `unroutable`."""
+    rows = mixed.where((F.col("collection") == collection) & _is_json())
     return rows.select(F.from_json("value", schema).alias("doc")).select("doc.*")
 
 
+def _is_json() -> Column:
+    return F.coalesce(F.get_json_object("value", "$").startswith("{"), F.lit(False))
+
+
+def unroutable(mixed: DataFrame, collections: list[str] | tuple[str, ...]) -> DataFrame:
+    """What no collection takes, as it came, with the `reason`: an unknown collection or a malformed value."""
+    known = F.coalesce(F.col("collection").isin(*collections), F.lit(False))
+    reason = F.when(~known, F.lit("unknown collection")).when(~_is_json(), F.lit("malformed value"))
+    return mixed.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
 def as_documents(df: DataFrame, collection: str, key: str = "id") -> DataFrame:
     return df.select(F.lit(collection).alias("collection"), F.col(key).alias("key"),
                      F.to_json(F.struct(*df.columns)).alias("value"))

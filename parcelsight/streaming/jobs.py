@@ -18,7 +18,7 @@ from parcelsight.operators import vectors
 from parcelsight.operators.enrich import enrich, needs_embedding, reject_bad_rows
 from parcelsight.operators.episodes import live_sessions
 from parcelsight.operators.metrics import tick_counts
-from parcelsight.sources.changes import route_by_collection, upsert_latest
+from parcelsight.sources.changes import route_by_collection, unroutable, upsert_latest
 
 NOW = {"availableNow": True}
 
@@ -51,7 +51,7 @@ def start_embedding(processed: DataFrame, path: str, checkpoint: str, trigger: d
 
 def start_routing(mixed: DataFrame, root: str, checkpoint: str, trigger: dict | None = None,
                   collections: tuple[str, ...] = ("events", "deliveries", "alerts")) -> StreamingQuery:
-    """Split (collection, key, value) documents into one table per collection.
+    """Split (collection, key, value) documents into one table per collection; what none takes goes to `rejected`.
 
     A micro-batch lands in folders named after its number and is overwritten when it runs again, so
     a repeat after a failure leaves no second copy.
@@ -62,6 +62,7 @@ def start_routing(mixed: DataFrame, root: str, checkpoint: str, trigger: dict |
             for name in collections:
                 (route_by_collection(batch, name, schemas.RAW[name])
                  .write.mode("overwrite").parquet(f"{root}/{name}/batch={number}"))
+            unroutable(batch, collections).write.mode("overwrite").parquet(f"{root}/rejected/batch={number}")
         finally:
             batch.unpersist()
 

@@ -64,7 +64,18 @@ def test_compacted_log_gives_the_same_state(spark, tmp_path):
     changes.compact(log, "id", ["seq"], str(tmp_path / "snap"))
     more = changes.as_changes(keyed(spark, ("c", "1", 4)))
     pick = lambda df: sorted(map(tuple, changes.current_rows(df, "id", ["seq"]).collect()))
-    assert pick(spark.read.parquet(str(tmp_path / "snap")).unionByName(more)) == pick(log.unionByName(more))
+    snapshot = spark.read.parquet(str(tmp_path / "snap"))
+    assert pick(snapshot.unionByName(more)) == pick(log.unionByName(more))
+    late = changes.as_changes(keyed(spark, ("b", "2", 2)))
+    assert pick(snapshot.unionByName(late)) == pick(log.unionByName(late)) == pick(log)
+
+
+def test_documents_that_no_collection_takes(spark):
+    rows = [("events", "1", '{"id": "1"}'), ("events", "2", "{broken"), ("events", "3", None), ("homes", "4", "{}"), (None, "5", "{}"), ("events", "6", "[1]")]
+    mixed = spark.createDataFrame(rows, "collection string, key string, value string")
+    assert [r["id"] for r in changes.route_by_collection(mixed, "events", "id string").collect()] == ["1"]
+    found = {r["key"]: r["reason"] for r in changes.unroutable(mixed, ["events"]).collect()}
+    assert found == {k: "malformed value" for k in "236"} | {k: "unknown collection" for k in "45"}
 
 
 def test_ties_keep_the_same_row(spark):

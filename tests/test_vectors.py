@@ -133,3 +133,23 @@ def test_failed_calls_leave_rows_not_ready(make):
     def broken(texts):
         raise RuntimeError("down")
     assert {r["is_ai_ready"] for r in vectors.embed(rows, broken).collect()} == {False}
+
+
+def test_one_bad_text_costs_no_other_row(make):
+    rows = en.enrich(make(*[{"id": f"d{i}" if i != 7 else "bad"} for i in range(20)])).coalesce(1)
+
+    def picky(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("bad text")
+        return [[1.0] for _ in texts]
+    got = {r["id"]: r["is_ai_ready"] for r in vectors.embed(rows, picky).collect()}
+    assert [k for k, ready in got.items() if not ready] == ["bad"] and len(got) == 20
+
+
+def test_queries_of_several_widths(spark):
+    corpus = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 0.0, 0.0])], "id string, embedding array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.1]), (2, [1.0, 0.0, 0.2]), (3, []), (4, None)], "query_id int, embedding array<float>")
+    got = {(r["query_id"], r["rank"]): r["id"] for r in vectors.topk_batch(queries, corpus, 2).collect()}
+    assert got == {(1, 1): "a", (1, 2): "b", (2, 1): "c"}
+    tiled = {(r["query_id"], r["rank"]): r["id"] for r in vectors.topk_batch(queries, corpus, 2, max_values=0).collect()}
+    assert tiled == got

@@ -35,7 +35,7 @@ RANK_CELLS = 4096
 CACHED_CHUNKS = 200_000
 CACHED_CORES = 500_000
 STOPS = b".,;:!?"
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 MARKS = "\u2665\u2605\u2022\u20ac\u00a3\u2026"    # symbols of which the tokenizer has one as a single id
 
 
@@ -115,7 +115,7 @@ def chunks_of(path: str) -> Chunks:
 
 
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
-    """Keys and texts, a few megabytes at a time."""
+    """Keys and texts, a megabyte or so at a time."""
     keys, texts, size = [], [], 0
     for k, t in zip(batch.column(0), batch.column(1)):
         keys.append(k.as_py()), texts.append(t.as_py())

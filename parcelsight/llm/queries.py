@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelsight.llm import (
-    fingerprints, language, mixing, packing, quality_classifier, quality_rules, sharding, simhash, substrings,
+    fingerprints, language, mixing, packing, quality_classifier, quality_rules, resampling, sharding, simhash, substrings,
     toxicity,
 )
 from parcelsight.llm.common import documents
@@ -88,3 +88,50 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = quality_classifier.page_sites(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return quality_classifier.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), sites)
+
+
+# crc32 is worked out byte by byte: a table of 256 values, then one step per byte of the feature
+RESAMPLING_SQL = r"""
+with recursive bits as (
+  select i, i::bigint as v, 0 as step from range(256) t(i)
+  union all select i, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, step + 1 from bits where step < 8
+), crc as (select list(v order by i) as t from bits where step = 8
+), texts as (
+  select 'd' as kind, doc_id, row_number() over () as row_no, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents
+  union all select 'b', item_id, row_number() over (), translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark
+), words as (
+  select kind, doc_id, row_no, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts
+), feats as (
+  select kind, row_no, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as f from words
+), uses as (select kind, row_no, f, count(*) as n from feats group by all
+), kinds as (
+  select f, xor(list_reduce(
+    list_transform(range(octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), (2 * i + 1)::int, 2))::bigint),
+    lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8), 4294967295), 4294967295) % 10000 as bucket
+  from (select distinct f from uses), crc
+), placed as (select kind, row_no, bucket, n from uses join kinds using (f)
+), seen as (
+  select b.bucket, coalesce(sum(n) filter (kind = 'd'), 0)::double as s, coalesce(sum(n) filter (kind = 'b'), 0)::double as t
+  from range(10000) b(bucket) left join placed p on p.bucket = b.bucket group by b.bucket
+), gains as (
+  select bucket, floor(1000 * ln((t + 1) * (sum(s) over () + 10000) / ((s + 1) * (sum(t) over () + 10000))))::bigint as gain from seen
+), sums as (
+  select row_no, sum(n) as n, floor(sum(n * gain)::double / sum(n))::bigint as weight
+  from placed join gains using (bucket) where kind = 'd' group by row_no
+), scored as (
+  select w.doc_id, w.row_no, coalesce(s.n, 0)::bigint as n_features, coalesce(s.weight, 0) as weight, len(w.w) >= 20 as fit,
+    coalesce(s.weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || w.doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from words w left join sums s using (row_no) where w.kind = 'd'
+), places as (
+  select *, row_number() over (partition by fit order by score desc, doc_id) as place, count(*) filter (fit) over () as fits from scored
+)
+select doc_id, n_features, weight, score, case when fit and place <= 25 * fits // 100 then place end as rank from places"""
+
+
+@query
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLES["op12_target_resampling"] = RESAMPLING_SQL

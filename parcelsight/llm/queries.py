@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelsight.llm import (
-    fingerprints, language, mixing, packing, quality_classifier, quality_rules, resampling, sharding, simhash, substrings,
-    toxicity,
+    fingerprints, language, minhash, mixing, packing, quality_classifier, quality_rules, resampling, sharding, simhash,
+    substrings, toxicity,
 )
 from parcelsight.llm.common import documents
 
@@ -135,3 +135,33 @@ def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_target_resampling"] = RESAMPLING_SQL
+
+
+MINHASH_SQL = r"""
+with recursive words as (
+  select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), shingles as (
+  select r, unnest(list_distinct(case when len(w) >= 3
+    then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as s from words
+), sizes as (select r, count(*) as n from shingles group by r
+), common as (
+  select a.r as a, b.r as b, count(*) as c from shingles a join shingles b on a.s = b.s and a.r < b.r group by all
+), links as (
+  select a, b from common join sizes x on x.r = a join sizes y on y.r = b where 100 * c >= 85 * (x.n + y.n - c)
+), ways as (select a, b from links union all select b, a from links
+), reach as (
+  select r as a, r as b from words union select reach.a, ways.b from reach join ways on reach.b = ways.a
+), least as (select reach.a as r, min(words.doc_id) as component_id from reach join words on reach.b = words.r group by 1)
+select w.doc_id, coalesce(s.n, 0)::bigint as n_shingles, component_id, w.doc_id = component_id as kept
+from words w join least using (r) left join sizes s using (r)"""
+
+
+@query
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
+ORACLES["op13_minhash_near_dedup"] = MINHASH_SQL

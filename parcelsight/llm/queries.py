@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelsight.llm import (
-    fingerprints, language, minhash, mixing, packing, quality_classifier, quality_rules, resampling, sharding, simhash,
-    substrings, toxicity,
+    filter_audit, fingerprints, language, minhash, mixing, packing, quality_classifier, quality_rules, resampling,
+    sharding, simhash, substrings, toxicity,
 )
 from parcelsight.llm.common import documents
 
@@ -165,3 +165,43 @@ def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_minhash_near_dedup"] = MINHASH_SQL
+
+
+AUDIT_SQL = r"""
+with texts as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents
+), words as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, min(doc_id) over (partition by t) as least from texts
+), lab as (
+  select doc_id, max((coalesce(quality, 0) = 1)::int) as good, max((coalesce(toxic, 0) = 1)::int) as toxic from labels group by doc_id
+), masks as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    (len(w) < 50)::int + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::int
+    + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int
+    + 16 * (words.doc_id > least)::int as mask
+  from words left join lab on words.doc_id = lab.doc_id
+), cells as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from masks group by all
+), letters as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(l, b)
+), orders as (
+  select a.l || b.l || c.l || d.l || e.l as filter_order, [a.b, b.b, c.b, d.b, e.b] as bits
+  from letters a, letters b, letters c, letters d, letters e where a.b | b.b | c.b | d.b | e.b = 31
+), steps as (
+  select filter_order, step::int as step, bits[step] as own, coalesce(list_sum(bits[1:step - 1]), 0)::int as before
+  from orders, range(1, 6) s(step)
+)
+select part, filter_order, step, coalesce(sum(n) filter (mask & (before | own) = 0), 0)::bigint as kept,
+  coalesce(sum(n) filter (mask & own <> 0 and mask & before = 0), 0)::bigint as removed,
+  coalesce(sum(n) filter (mask & own <> 0 and mask & before <> 0), 0)::bigint as redundant,
+  coalesce(sum(n) filter (mask = own), 0)::bigint as unique_fails,
+  coalesce(sum(good) filter (mask & own <> 0 and mask & before = 0), 0)::bigint as good_lost,
+  coalesce(sum(toxic) filter (mask & own <> 0 and mask & before = 0), 0)::bigint as toxic_lost,
+  coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) filter (mask & own <> 0), 0)::bigint as shapley
+from steps, cells group by part, filter_order, step"""
+
+
+@query
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = filter_audit.stream_files(spark, f"{sf_dir}/documents.parquet")
+    return filter_audit.audit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+ORACLES["op11_filter_interaction_audit"] = AUDIT_SQL

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import TIMELINE
+from fixtures_small import TIMELINE
 from parcelsight.functions import cards, episode, narrative, text
 from parcelsight.operators import enrich as en
 from parcelsight.operators import feeds, rag

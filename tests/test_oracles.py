@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from compare import compare, oracle_connection
-from conftest import SMALL
+from fixtures_small import SMALL
 
 # the training-text queries have tests of their own and may be absent
 OWN = re.compile(r"op\d+_|pipeline$")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from fixtures_small import SMALL
 from parcelsight.functions.text import iso_time
 from parcelsight.operators import enrich as en
 from parcelsight.operators import episodes, feeds, joins, metrics, sensors

@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from fixtures_small import SMALL
 from parcelsight import schemas
 from parcelsight.operators import enrich as en
 from parcelsight.operators import episodes, metrics, vectors

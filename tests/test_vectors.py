@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from fixtures_small import SMALL
 from parcelsight.functions.vector_math import cosine_distance, distance_to
 from parcelsight.operators import enrich as en
 from parcelsight.operators import vectors

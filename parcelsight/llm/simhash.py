@@ -58,16 +58,20 @@ def simhash(text: bytes, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """(key, fp) with the fingerprint as a signed long."""
-    rows = docs.select(F.col(key).cast("bigint").alias(key), text_of(text).cast("binary").alias("_text"))
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE,
+                 marks: dict[str, Column] | None = None) -> DataFrame:
+    """(key, fp, marks) with the fingerprint as a signed long; `marks` are further long columns to keep."""
+    names = list(marks or {})
+    rows = docs.select(F.col(key).cast("bigint").alias(key), text_of(text).cast("binary").alias("_text"),
+                       *[c.alias(n) for n, c in (marks or {}).items()])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((simhash(t.as_py(), k) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], [key, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]],
+                                             [key, "fp", *names])
 
-    return rows.mapInArrow(each, f"{key} bigint, fp bigint")
+    return rows.mapInArrow(each, ", ".join(f"{c} bigint" for c in (key, "fp", *names)))
 
 
 def hex_text(fp: Column) -> Column:
@@ -237,29 +241,45 @@ def _state(edges: DataFrame) -> tuple:
                            F.sum(F.shiftrightunsigned(key, 32))).first())
 
 
+def roots(marked: DataFrame, radius: int = MAX_BITS, key: str = "doc_id") -> DataFrame:
+    """(fp, first, root): every fingerprint with its least id and the least fingerprint that it is linked with."""
+    nodes = stored(marked.groupBy("fp").agg(F.min(key).alias("first")), "simhash-nodes")
+    found = components(links(nodes, radius))
+    return stored(nodes.join(found, nodes["fp"] == found["node"], "left")
+                  .select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE,
                     radius: int = MAX_BITS) -> DataFrame:
     """(key, fp, component): the least id that is reachable over fingerprints within `radius` bits."""
     marked = stored(fingerprints(docs, key, text, k), "simhash")
-    nodes = stored(marked.groupBy("fp").agg(F.min(key).alias("first")), "simhash-nodes")
-    roots = components(links(nodes, radius))
-    joined = stored(nodes.join(roots, nodes["fp"] == roots["node"], "left")
-                    .select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    joined = roots(marked, radius, key)
     least = joined.groupBy("root").agg(F.min("first").alias("component"))
     labels = joined.join(least, "root").select("fp", "component")
     return balanced_join(marked, labels, "fp", key).select(key, "fp", "component")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = MAX_BITS) -> DataFrame:
-    """One row of every component, with all of its columns: the least id, of rows that share it the one with
-    the least hash, and of identical rows any one.
+    """One row of every group, with all of its columns: the least id (a null one only where there is no other), of texts
+    that share it the one with the least hash, of equal texts that share it one row.
 
-    Fingerprints, component by component, decide on narrow rows; the documents are joined with the ids that stay.
+    A group is known by its fingerprints, not by an id, so rows without an id and several texts under one id stay as
+    often as there are groups. The choice is made on narrow rows that carry 128 bits of hash over id
+    and text; the documents are joined with the hashes that stay.
     """
-    chosen = F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("id"))
-    firsts = (near_duplicates(docs, key, text, k, radius).groupBy("component").agg(F.min(chosen).alias("first"))
-              .select(F.coalesce(F.col("first.id").cast("string"), F.lit("none")).alias("_key")).distinct())
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("bigint").cast("string"), F.lit("none")).alias("_key"))
-    kept = rows.join(stored(firsts, "simhash-first"), "_key", "left_semi")
-    # rows that share an id are one document here
-    return kept.groupBy("_key").agg(F.min_by("row", F.xxhash64(f"row.{text}")).alias("row")).select("row.*")
+    row_key = [F.col(key).cast("bigint"), text_of(text)]
+    marks = {"_h1": F.xxhash64(F.lit(1), *row_key), "_h2": F.xxhash64(F.lit(2), *row_key)}
+    marked = stored(fingerprints(docs, key, text, k, marks), "simhash")
+    order = F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("id"), "_h1", "_h2")
+    least = marked.groupBy("fp").agg(F.min(order).alias("least"))
+    firsts = (roots(marked, radius, key).select("fp", "root").join(least, "fp")
+              .groupBy("root").agg(F.min("least").alias("least")).select("least._h1", "least._h2"))
+    often = marked.groupBy("_h1", "_h2").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    firsts = stored(firsts.join(often, ["_h1", "_h2"], "left").select("_h1", "_h2", F.col("n").isNotNull().alias("again")),
+                    "simhash-first")
+    rows = docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in marks.items()])
+    kept = rows.join(firsts.where(~F.col("again")), ["_h1", "_h2"], "left_semi").select("row")
+    if not firsts.where("again").isEmpty():
+        equal = rows.join(firsts.where("again"), ["_h1", "_h2"], "left_semi")
+        kept = kept.unionAll(equal.groupBy("_h1", "_h2").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row"))
+    return kept.select("row.*")

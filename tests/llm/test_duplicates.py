@@ -71,12 +71,22 @@ def test_near_duplicates_of_a_table(small):
 def test_first_of_each_group_stays(odd, clashing, empty):
     kept = simhash.keep_first(odd)
     comps = brute_components(odd_rows())
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for _, c in comps if c is not None})
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in comps})
     assert kept.columns == odd.columns
     assert sorted_rows(simhash.keep_first(clashing).select(*odd.columns)) == sorted_rows(kept)
     assert simhash.keep_first(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
+def test_groups_without_ids_of_their_own_stay(spark):
+    """Different texts stay, whether they have no id or share one; copies go."""
+    texts = [prose(100 + i, 80) for i in range(7)]
+    rows = [(None, t) for t in texts[:4]] + [(5, t) for t in texts[4:6]] + [(6, texts[6])]
+    rows += [(None, texts[0]), (9, texts[1]), (5, texts[4]), (5, texts[4]), (7, texts[6])]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    want = [(None, texts[0]), (9, texts[1]), (None, texts[2]), (None, texts[3]), (5, texts[4]), (5, texts[5]), (6, texts[6])]
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
+
+
 @pytest.mark.parametrize("radius", [2, 3, 4])
 @pytest.mark.parametrize("bits,limit", [(0, 1 << 30), (0, 20_000), (5, 1 << 30), (9, 1 << 30)])
 def test_every_close_pair_meets(radius, bits, limit):

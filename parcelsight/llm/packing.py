@@ -10,7 +10,8 @@ A piece finds its place by its rank among the pieces of its length. Ranks are ru
 length that a third of all pieces share is many small sorts.
 
 Defined results: a null or empty text is the end token alone; only documents longer than the capacity are
-cut; repeated rows are packed as documents of their own; no rows give no rows.
+cut; repeated rows are packed as documents of their own; no rows give no rows. Added tokens inside a text count as the tokenizer
+counts them, in their own letter case only.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +34,14 @@ from parcelsight.llm.common import running_start, stored, text_of
 CAPACITY = 4096
 END = 1
 RANK_CELLS = 4096
-CACHED_CHUNKS = 200_000
+CACHED_CHUNKS = 400_000
 CACHED_CORES = 500_000
-STOPS = b".,;:!?"
-GROUP_BYTES = 1 << 20
+STOPS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+GROUP_BYTES = 1 << 21
+GATHERED_WORDS = 1 << 20
 MARKS = "\u2665\u2605\u2022\u20ac\u00a3\u2026"    # symbols of which the tokenizer has one as a single id
+# holds what the chunk-wise way relies on: letter case, stops, white space and marks of several kinds
+PROBE = "Plain WORDS, mixed!? \u00dcn\u00efcode\u00a0gap 12.5 (x) a\tb\nc It's e.g.: <|X|> \u6771\u4eac caf\u00e9,*** End."
 
 
 # ---- tokens -------------------------------------------------------------------------------------
@@ -46,7 +51,8 @@ class Chunks(dict):
 
     The tokenizer drops white space and never joins across it, so a text's ids are its chunks' ids in a row. Chunks
     that are not known yet are encoded together, hundreds to a text, with a mark between them whose one id
-    shows where each ends.
+    shows where each ends. Chunks with an added token in any letter case are encoded as they are and alone, for the
+    tokenizer looks for these before it lower-cases. A tokenizer that treats the probe text otherwise gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -59,6 +65,9 @@ class Chunks(dict):
         if not single:
             raise ValueError(f"the tokenizer has no single id for any of {MARKS}")
         self.mark, self.mark_id = single[0]
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = False
+        self.whole = self.ids(pa.array([PROBE]))[0] != np.array(self._alone(PROBE), dtype="<u4").tobytes()
 
     def _alone(self, chunk: str) -> list[int]:
         return self.tokenizer.encode(chunk, add_special_tokens=False).ids
@@ -68,13 +77,23 @@ class Chunks(dict):
         return found
 
     def learn(self, chunks: list[bytes]) -> None:
-        """Chunks are lower-cased, and ASCII stops after an ASCII letter are tokens of their own: so most chunks are a
-        known core and stops."""
-        parts = [_core(c) for c in chunks]
-        self._encode(list({x for p in parts for x in p if x}.difference(self.cores)))
+        """Chunks are lower-cased, and ASCII stops after a letter are tokens of their own: so most chunks are a known
+        core and stops."""
+        low = b" ".join(chunks).lower()
+        if any(t in low for t in self.added):
+            chunks = [c for c in chunks if not any(t in c.lower() for t in self.added)]
+            low = b" ".join(chunks).lower()
+        parts, cores = [], self.cores
+        for chunk in low.split(b" ") if chunks else ():
+            core = chunk.rstrip(STOPS)
+            if len(core) == len(chunk) or not _ends_in_letter(core):
+                parts.append((chunk, b""))
+            else:
+                parts.append((core, chunk[len(core):]))
+        self._encode(list({x for p in parts for x in p if x}.difference(cores)))
         for chunk, (core, stops) in zip(chunks, parts):
-            if core in self.cores and (not stops or stops in self.cores):
-                self[chunk] = self.cores[core] + (self.cores[stops] if stops else b"")
+            if core in cores and (not stops or stops in cores):
+                self[chunk] = cores[core] + cores[stops] if stops else cores[core]
 
     def _encode(self, cores: list[bytes]) -> None:
         mark = self.mark.encode()
@@ -92,20 +111,37 @@ class Chunks(dict):
                 self.cores[core] = data[4 * start:4 * end]
                 start = end + 1
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+    def ids(self, texts: pa.StringArray) -> list[bytes]:
+        """Distinct chunks are found by Arrow, their ids put in place by numpy."""
+        if self.whole:
+            encoded = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
         if len(self) >= CACHED_CHUNKS:
             self.clear()
         if len(self.cores) >= CACHED_CORES:
             self.cores.clear()
-        self.learn(list(set().union(*split).difference(self)))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
-
-
-def _core(chunk: bytes) -> tuple[bytes, bytes]:
-    low = chunk.lower()
-    core = low.rstrip(STOPS)
-    return (core, low[len(core):]) if core and 97 <= core[-1] <= 122 else (low, b"")
+        distinct = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        self.learn([w for w in distinct if w and w not in self])
+        found = [self[w] for w in distinct]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        firsts, known = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), dtype="<u4")
+        places, parts, ends = words.indices.to_numpy(), [], [np.zeros(1, np.int64)]
+        for at in range(0, len(places), GATHERED_WORDS):
+            place = places[at:at + GATHERED_WORDS]
+            n = sizes[place]
+            end = np.cumsum(n)
+            parts.append(known[np.repeat(firsts[place] - (end - n), n) + np.arange(end[-1])])
+            ends.append(end + ends[-1][-1])
+        ids = np.concatenate(parts) if parts else known[:0]
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        cuts = np.concatenate(ends)[np.concatenate(([0], np.cumsum(counts)))]
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
+def _ends_in_letter(core: bytes) -> bool:
+    return bool(core) and (97 <= core[-1] <= 122 or core[-1] >= 128 and core.decode("utf-8")[-1].isalpha())
 
 
 @cache
@@ -114,17 +150,13 @@ def chunks_of(path: str) -> Chunks:
     return Chunks(path)
 
 
-def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
-    """Keys and texts, a megabyte or so at a time."""
-    keys, texts, size = [], [], 0
-    for k, t in zip(batch.column(0), batch.column(1)):
-        keys.append(k.as_py()), texts.append(t.as_py())
-        size += len(texts[-1])
-        if size >= GROUP_BYTES:
-            yield keys, texts
-            keys, texts, size = [], [], 0
-    if keys:
-        yield keys, texts
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list, pa.StringArray]]:
+    """Keys and texts, some megabytes at a time."""
+    group = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)) // GROUP_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b > a:
+            yield batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a)
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END,
@@ -133,7 +165,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, e
 
     `ids` holds little-endian unsigned 32-bit numbers. `tokenizer` is a file that every node has.
     """
-    rows = docs.select(F.col(key).cast("bigint").alias(key), text_of(text).cast("binary").alias("_text"))
+    rows = docs.select(F.col(key).cast("bigint").alias(key), text_of(text).alias("_text"))
     last, step = np.array([end], dtype="<u4").tobytes(), 4 * capacity
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

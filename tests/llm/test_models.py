@@ -148,6 +148,18 @@ def test_packing_of_a_table(small):
     assert n <= least + 1 + least // 50
 
 
+def test_ids_of_added_tokens_and_stops(spark):
+    """Added tokens count in their own letter case only; runs of stops end a word after any letter."""
+    texts = ["a <|ENDOFTEXT|> b", "a <|endoftext|> b", "x<|EndOfText|>y <|STARTOFTEXT|>", "<|startoftext|>'s", "caf\u00e9.*** It's ll' we'LL'' $%&",
+             "\u6771\u4eac,. \u00e9\u0301! 5.. _a_ a_'. ''", "  lead \x0b\x0c trail  ", "\x1c a\x1db \u00a0 c\u2003d", "\u2665 \u2605\u2665. \u2022"]
+    rng = random.Random(4)
+    texts += ["".join(rng.choice("abXZ '.,*#_<|>5\u00e9\u00df\u6771\u0301\t\n") for _ in range(60)) for _ in range(300)]
+    rows = list(enumerate(texts))
+    pieces = packing.tokenize_pieces(spark.createDataFrame(rows, "doc_id bigint, text string"), TOKENIZER).collect()
+    found = [(r["doc_id"], r["piece"], r["start"], r["length"], zlib.crc32(bytes(r["ids"]))) for r in pieces]
+    assert sorted(found, key=repr) == brute_pieces(rows, 4096)
+
+
 def test_sequences_hold_all_ids(odd, empty):
     packed = packing.pack_documents(odd, TOKENIZER)
     total = packed.agg(F.sum("length")).first()[0]

@@ -10,57 +10,40 @@ from parcelsight.functions.episode import (
     ALERT_OF_SCENARIO, alert_message, alert_severity, event_summary,
 )
 from parcelsight.functions.text import lookup
-from parcelsight.operators.skew import heavy_keys
 
-MAX_TIMELINE = 10_000
+PART_EVENTS = 10_000
 
 
-def _split(events: DataFrame, key: str, max_events: int) -> tuple[DataFrame, DataFrame]:
-    """(events of episodes that fit one row, all other events).
+def assemble_deliveries(events: DataFrame, key: str = "delivery_id", part_events: int = PART_EVENTS) -> DataFrame:
+    """Episodes with their ordered event ids and timeline, in numbered parts of at most `part_events` events.
 
-    Keys with a large share of all rows are sorted out by a broadcast of bounded size before anything
-    is shuffled; what is left to the shuffled join holds no hot key.
+    Parts of an episode are numbered from 0 without gaps, and all but the last are full; an episode that fits is one row.
+    Events without an episode, home or time are parts of the missing one. An event's place is its rank within
+    an hour plus the sizes of the hours before, so an episode with a third of all events is many small sorts.
     """
-    keyed = events.where(F.col(key).isNotNull())
-    crowded = keyed.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max_events).select(key)
-    heavy = F.broadcast(heavy_keys(events, key, max_events).select(key))
-    rest = keyed.join(heavy, key, "left_anti")
-    fits = rest.join(crowded, key, "left_anti")
-    others = (keyed.join(heavy, key, "left_semi")
-              .unionByName(rest.join(crowded, key, "left_semi"))
-              .unionByName(events.where(F.col(key).isNull())))
-    return fits, others
-
-
-def assemble_deliveries(events: DataFrame, key: str = "delivery_id",
-                        max_events: int = MAX_TIMELINE) -> DataFrame:
-    """One row per episode with its ordered event ids and timeline.
-
-    An episode longer than `max_events` would not fit one row or one task. Its events, and events
-    without an episode, are returned by `loose_events`; the two together are complete.
-    """
-    fits, _ = _split(events, key, max_events)
+    some = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    hour = F.coalesce(F.substring(F.col("timestamp").cast("string"), 1, 13), F.lit(""))
+    cells = ["_episode", "_home", "_hour"]
+    celled = events.withColumns(dict(zip(cells, (some(key), some("home_id"), hour))))
+    before = W.partitionBy("_episode", "_home").orderBy("_hour").rowsBetween(W.unboundedPreceding, -1)
+    starts = celled.groupBy(*cells).agg(F.count("*").alias("n")).select(
+        *cells, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
     entry = F.struct(
         F.col("timestamp").alias("at"), F.col("id").alias("event_id"), F.col("type").alias("event_type"),
         "location")
-    grouped = fits.groupBy(key, "home_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    inside = W.partitionBy(*cells).orderBy("_entry")
+    placed = (celled.select(key, "home_id", *cells, entry.alias("_entry")).join(starts, cells)
+              .withColumn("part", F.floor((F.col("_start") + F.row_number().over(inside) - 1) / part_events).cast("int")))
+    grouped = placed.groupBy(key, "home_id", "part").agg(F.array_sort(F.collect_list("_entry")).alias("entries"))
     timeline = F.transform("entries", lambda e: F.struct(
         e["event_id"].alias("event_id"), e["event_type"].alias("event_type"),
         e["location"].alias("location"),
         event_summary(e["event_type"], e["location"]).alias("summary"), e["at"].alias("timestamp")))
     return grouped.select(
-        key, "home_id", F.transform("entries", lambda e: e["event_id"]).alias("event_ids"),
+        key, "home_id", "part", F.transform("entries", lambda e: e["event_id"]).alias("event_ids"),
         timeline.alias("event_timeline"), F.size("entries").alias("n_events"))
 
 
-def loose_events(events: DataFrame, key: str = "delivery_id", max_events: int = MAX_TIMELINE) -> DataFrame:
-    """Events that `assemble_deliveries` leaves out, as rows with the same fields as timeline entries."""
-    _, others = _split(events, key, max_events)
-    return others.select(
-        key, "home_id", F.col("id").alias("event_id"), F.col("type").alias("event_type"), "location",
-        event_summary(F.col("type"), F.col("location")).alias("summary"), "timestamp")
-
-
 def derive_alerts(deliveries: DataFrame) -> DataFrame:
     """At most one alert per delivery. The message names the street, the first part of the address."""
     kind = lookup(F.col("scenario_type"), ALERT_OF_SCENARIO)

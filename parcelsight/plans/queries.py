@@ -237,6 +237,17 @@ def assembled_deliveries(spark: SparkSession, sf: str) -> DataFrame:
                        _joined("event_ids"), _timeline_text().alias("timeline"))
 
 
+@query("assembled_parts", BASE + """
+select ev.delivery_id, ev.home_id, (ev.ord // 3)::int as part, count(*) as n_events,
+  string_agg(event_id, ',' order by ord) as event_ids
+from (select * replace (row_number() over (partition by delivery_id, home_id order by ts, event_id) - 1 as ord) from ev) ev
+group by ev.delivery_id, ev.home_id, ev.ord // 3""")
+def assembled_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """All events in parts of three, so that most episodes have several."""
+    rows = episodes.assemble_deliveries(fx.events(spark, sf), part_events=3)
+    return rows.select("delivery_id", "home_id", "part", F.col("n_events").cast("bigint").alias("n_events"), _joined("event_ids"))
+
+
 @query("derived_alerts", BASE + """
 select id, delivery_id, home_id, address, alert_type, severity, message, triggered_at,
   false as acknowledged, event_ids as related_event_ids from al""")

@@ -45,15 +45,18 @@ def test_balanced_join_equals_plain_join(spark, skewed):
     assert same(left.select(cols), skewed.join(homes, "home_id", "left").select(cols))
 
 
-def test_assembled_and_loose_events_are_complete(skewed):
-    built = episodes.assemble_deliveries(skewed, max_events=200)
-    loose = episodes.loose_events(skewed, max_events=200)
-    inside = built.select(F.explode("event_ids").alias("id"))
-    assert same(inside.unionByName(loose.select(F.col("event_id").alias("id"))), skewed.select("id"))
-    assert {r["delivery_id"] for r in loose.select("delivery_id").distinct().collect()} == {"d-hot", None}
-    row = built.where("delivery_id = 'd2'").first()
-    times = [e["timestamp"] for e in row["event_timeline"]]
-    assert times == sorted(times) and row["event_ids"] == [e["event_id"] for e in row["event_timeline"]]
+def test_parts_hold_all_events(skewed):
+    built = episodes.assemble_deliveries(skewed, part_events=200).collect()
+    assert sorted(i for r in built for i in r["event_ids"]) == sorted(r["id"] for r in skewed.select("id").collect())
+    whole = {}
+    for r in sorted(built, key=lambda r: r["part"]):
+        whole.setdefault((r["delivery_id"], r["home_id"]), []).append(r)
+    assert len(whole["d-hot", "hot"]) > 5 and (None, "hot") in whole
+    for parts in whole.values():
+        assert [r["part"] for r in parts] == list(range(len(parts)))
+        assert all(r["n_events"] == 200 for r in parts[:-1]) and 0 < parts[-1]["n_events"] <= 200
+        entries = [(e["timestamp"], e["event_id"]) for r in parts for e in r["event_timeline"]]
+        assert entries == sorted(entries) and [i for r in parts for i in r["event_ids"]] == [e[1] for e in entries]
 
 
 def test_sliced_next_equals_one_window(skewed):

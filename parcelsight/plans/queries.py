@@ -885,7 +885,7 @@ def _cells(spark: SparkSession, sf: str):
 @query("ann_topk")
 def ann_topk(spark: SparkSession, sf: str) -> DataFrame:
     cells, model = _cells(spark, sf)
-    hits = vectors.ann_topk(cells, model, _question(spark, sf), 10, nprobe=4)
+    hits = vectors.ann_topk(cells, model, _question(spark, sf), 10, nprobe=12)
     wide = fx.processed(spark, sf).select("id", "address", "knowledge_summary")
     return hits.join(wide, "id").select("id", "scenario_type", "address", "knowledge_summary", "distance", "score")
 

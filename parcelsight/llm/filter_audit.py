@@ -9,7 +9,8 @@ overwritten if the batch runs again, so that they are counted once.
 
 Texts never leave the first step: there each becomes a checksum (128 bits of SHA-256) and four bits. A text that very many
 rows share is cut down before it is shuffled: within an Arrow batch only the rows with its smallest id can still
-pass, all others are counted by part. State is kept in RocksDB, on disk, one small row per distinct text.
+pass, all others are counted by part. State is kept in RocksDB, on disk; a state row holds the texts of one
+bucket of checksums, and `buckets` grows with the table, so that a row stays at some tens of kilobytes.
 
 Conditions of failure: A under 50 words; B fewer than 65 distinct words in a hundred; C over 5 capitals A-Z in a hundred code
 points; D any of #$%&*|; E a smaller id has the identical text.
@@ -34,12 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from parcelsight.llm.common import text_of
+from parcelsight.llm.common import stored, text_of
 from parcelsight.session import scratch_dir
 
 LETTERS = "ABCDE"
 COPY = 16                   # E's bit; A to D have 1, 2, 4 and 8
 BATCHES = 4                 # micro-batches that the files are dealt over
+TEXTS_IN_STATE = 512        # per state row, on average
+BUCKETS = 4096              # state rows, unless the caller knows the table's size
 CAPITALS = bytes(range(65, 91))
 FOLLOWING = bytes(range(0x80, 0xC0))    # bytes that do not begin a code point
 SYMBOLS = b"#$%&*|"
@@ -102,66 +105,86 @@ CHANGES = "part string, mask int, good int, toxic int, n bigint"
 CHANGE_COLUMNS = ["part", "mask", "good", "toxic", "n"]
 
 
-def changes_of(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A text's rows of a micro-batch to changes of its parts' counters. The state is its smallest id and,
-    as JSON, the rows that have it: [part, mask, good, toxic, n]."""
-    least, holders = None, {}
-    if state.exists:
-        least, packed = state.get
-        holders = {tuple(h[:4]): h[4] for h in json.loads(packed)}
+HELD = [("key", pa.binary()), ("least", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("good", pa.int32()),
+        ("toxic", pa.int32()), ("n", pa.int64())]
+
+
+def _packed(held: dict[bytes, tuple[int, dict]]) -> bytes:
+    """Texts' smallest ids and the rows that have them, as Arrow columns."""
+    sink = pa.BufferOutputStream()
+    batch = _columns([(key, least, *row, n) for key, (least, holders) in held.items() for row, n in holders.items()], HELD)
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes) -> dict[bytes, tuple[int, dict]]:
+    held: dict[bytes, tuple[int, dict]] = {}
+    for key, least, *row, n in zip(*[c.to_pylist() for c in pa.ipc.open_stream(packed).read_all().columns]):
+        held.setdefault(key, (least, {}))[1][tuple(row)] = n
+    return held
+
+
+def changes_of(bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The rows of some texts in a micro-batch to changes of their parts' counters. The state has each text's
+    smallest id and the rows that have it: (part, mask, good, toxic) and their number."""
+    held = _unpacked(bytes(state.get[0])) if state.exists else {}
     out: Counter = Counter()
     for frame in frames:
-        has_id = frame["id"].notna().tolist()
-        for known, doc_id, n, *row in zip(has_id, frame["order"].tolist(), frame["n"].tolist(), frame["part"].tolist(),
-                                          frame["mask"].tolist(), frame["good"].tolist(), frame["toxic"].tolist()):
-            row = tuple(row)
+        columns = [frame[c].tolist() for c in ("key", "order", "n", "part", "mask", "good", "toxic")]
+        for known, key, doc_id, n, *row in zip(frame["id"].notna().tolist(), *columns):
             if not known:
-                out[row] += n
+                out[tuple(row)] += n
                 continue
-            if least is None or doc_id < least:
-                for (part, mask, good, toxic), m in holders.items():
+            if key not in held or doc_id < held[key][0]:
+                for (part, mask, good, toxic), m in held[key][1].items() if key in held else ():
                     out[part, mask, good, toxic] -= m
                     out[part, mask | COPY, good, toxic] += m
-                least, holders = doc_id, {}
+                held[key] = doc_id, {}
+            least, holders = held[key]
             if doc_id == least:
-                holders[row] = holders.get(row, 0) + n
-                out[row] += n
+                holders[tuple(row)] = holders.get(tuple(row), 0) + n
+                out[tuple(row)] += n
             else:
                 part, mask, good, toxic = row
                 out[part, mask | COPY, good, toxic] += n
-    if least is not None:
-        state.update((least, json.dumps([[*h, n] for h, n in holders.items()])))
+    if held:
+        state.update((_packed(held),))
     rows = [(*k, n) for k, n in out.items() if n]
     if rows:
         yield pd.DataFrame(rows, columns=CHANGE_COLUMNS)
 
 
 def label_facts(labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(id, good, toxic): one row per labelled id."""
+    """(id, good, toxic): one row per id with a label that counts."""
     one = lambda c: F.max(F.when(F.col(c) == 1, 1).otherwise(0))
     return (labels.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias("id"))
-            .agg(one("quality").alias("good"), one("toxic").alias("toxic")))
+            .agg(one("quality").alias("good"), one("toxic").alias("toxic")).where("good = 1 or toxic = 1"))
 
 
-def counter_changes(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
-    """A stream of documents to a stream of counter changes (part, mask, good, toxic, n)."""
+def counter_changes(docs: DataFrame, facts: DataFrame, key: str = "doc_id", text: str = "text", part: str = "source",
+                    buckets: int = BUCKETS) -> DataFrame:
+    """A stream of documents and their label facts to a stream of counter changes (part, mask, good, toxic, n)."""
     ddl = lambda fields: ", ".join(f"{f} {kinds[str(t)]}" for f, t in fields)
     kinds = {"binary": "binary", "int32": "int", "int64": "bigint", "string": "string"}
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(part), F.lit("")).alias("part"),
                        text_of(text).cast("binary").alias("text"))
-    masked = rows.mapInArrow(_masked, ddl(MASKED)).join(label_facts(labels), "id", "left").select(
+    masked = rows.mapInArrow(_masked, ddl(MASKED)).join(facts, "id", "left").select(
         "key", "mask", "id", "part", "n", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
     # pandas turns a column with nulls into doubles: the id's order goes beside it, whole
     narrow = masked.mapInArrow(_firsts, ddl(NARROW)).withColumn("order", F.coalesce("id", F.lit(0).cast("bigint")))
-    return narrow.groupBy("key").applyInPandasWithState(
-        changes_of, CHANGES, "least bigint, holders string", "update", GroupStateTimeout.NoTimeout)
+    # a call of Python costs as much as some hundred rows, so a state row holds the texts of a bucket
+    held = narrow.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets).cast("bigint")))
+    return held.groupBy("bucket").applyInPandasWithState(
+        changes_of, CHANGES, "held binary", "update", GroupStateTimeout.NoTimeout)
 
 
 def counters(docs: DataFrame, labels: DataFrame, root: str, key: str = "doc_id", text: str = "text",
-             part: str = "source") -> DataFrame:
+             part: str = "source", buckets: int = BUCKETS) -> DataFrame:
     """(part, mask, good, toxic, n): the sums of all changes, once every file that is there has been processed. `root`
-    is a shared folder; a second call on it goes on with the files that came since."""
+    is a shared folder; a second call on it, with the same `buckets`, goes on with the files that came since."""
     spark = docs.sparkSession
+    facts = stored(label_facts(labels), "audit-labels")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.groupBy(*CHANGE_COLUMNS[:4]).agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{root}/changes/batch={number}")
@@ -170,7 +193,7 @@ def counters(docs: DataFrame, labels: DataFrame, root: str, key: str = "doc_id",
     try:
         for k, v in STATE_CONF.items():
             spark.conf.set(k, v)
-        running = (counter_changes(docs, labels, key, text, part).writeStream.foreachBatch(write).outputMode("update")
+        running = (counter_changes(docs, facts, key, text, part, buckets).writeStream.foreachBatch(write).outputMode("update")
                    .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start())
     finally:
         for k, v in before.items():
@@ -224,7 +247,13 @@ def stream_files(spark: SparkSession, path: str, batches: int = BATCHES) -> Data
     return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", str(each)).parquet(as_glob)
 
 
-def audit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
+def buckets_of(rows: int) -> int:
+    """State rows for so many documents: each holds about TEXTS_IN_STATE texts, at any size of the table."""
+    return max(1, rows // TEXTS_IN_STATE)
+
+
+def audit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", part: str = "source",
+          buckets: int = BUCKETS) -> DataFrame:
     """(part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley) of a stream of
     documents that ends when all its files are processed."""
-    return interactions(counters(docs, labels, scratch_dir(docs.sparkSession, "filter-audit"), key, text, part))
+    return interactions(counters(docs, labels, scratch_dir(docs.sparkSession, "filter-audit"), key, text, part, buckets))

@@ -201,7 +201,8 @@ from steps, cells group by part, filter_order, step"""
 @query
 def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = filter_audit.stream_files(spark, f"{sf_dir}/documents.parquet")
-    return filter_audit.audit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = documents(spark, sf_dir).count()
+    return filter_audit.audit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), buckets=filter_audit.buckets_of(rows))
 
 
 ORACLES["op11_filter_interaction_audit"] = AUDIT_SQL

@@ -80,3 +80,21 @@ def test_audit_of_odd_rows(spark, odd, clashing, labels, tmp_path):
         if r["step"] == 5:
             left.setdefault(r["part"], set()).add(r["kept"])
     assert all(len(v) == 1 for v in left.values())
+
+
+def test_audit_retracts_when_smaller_ids_arrive(spark, labels, tmp_path):
+    """Ids fall from file to file and texts share state rows, so earlier holders are retracted again and again."""
+    rows = [(100 - i, f"text {i % 7} " * 60, f"part {i % 3}") for i in range(60)] + [(50, "text 0 " * 60, "part 0")]
+    path = f"{tmp_path}/falling.parquet"
+    for i in range(0, len(rows), 16):
+        spark.createDataFrame(rows[i:i + 16], "doc_id bigint, text string, source string").coalesce(1).write.mode("append").parquet(path)
+    least = {}
+    for doc_id, text, _ in rows:
+        least[text] = min(doc_id, least.get(text, doc_id))
+    wanted = {}
+    for doc_id, text, part in rows:
+        wanted[part] = wanted.get(part, 0) + (doc_id > least[text])
+    for buckets in (1, 3, 4096):
+        found = filter_audit.audit(filter_audit.stream_files(spark, path), labels, buckets=buckets).where(
+            "step = 1 and filter_order = 'EABCD'").collect()
+        assert {r["part"]: r["removed"] for r in found} == wanted

@@ -175,7 +175,9 @@ def counter_changes(docs: DataFrame, facts: DataFrame, key: str = "doc_id", text
     # pandas turns a column with nulls into doubles: the id's order goes beside it, whole
     narrow = masked.mapInArrow(_firsts, ddl(NARROW)).withColumn("order", F.coalesce("id", F.lit(0).cast("bigint")))
     # a call of Python costs as much as some hundred rows, so a state row holds the texts of a bucket
-    held = narrow.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets).cast("bigint")))
+    # and rows that cannot pass need no state: those of a text with very many copies are shared out by what they count
+    spread = F.when(F.col("id").isNull(), F.xxhash64("part", "mask", "good", "toxic", "n"))
+    held = narrow.withColumn("bucket", F.pmod(F.xxhash64("key", spread), F.lit(buckets).cast("bigint")))
     return held.groupBy("bucket").applyInPandasWithState(
         changes_of, CHANGES, "held binary", "update", GroupStateTimeout.NoTimeout)
 

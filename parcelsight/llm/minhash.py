@@ -275,17 +275,20 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, text: str = "text", k: int =
     members = open_buckets(nodes)
     facts = stored(node_facts(docs, nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "text_md5"),
                               text, k), "minhash-facts")
-    links, turn = None, 1
+    roots, turn = None, 1
     while True:
         pivots = stored(pivots_of(members, turn), "minhash-pivots")
         tried = prune(candidates(members, pivots), facts.select("node", "n", "signature"), percent, miss)
         found = stored(confirm(tried, facts.select("node", "hashes"), percent), "minhash-links")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+        # the stars so far have the components of all earlier links, in fewer edges and without long chains
+        if roots is None:
+            roots = components(found)
+        elif not found.isEmpty():
+            roots = components(found.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
         members = still_open(members, pivots, roots)
         if members.isEmpty():
             return roots
-        turn = min(4 * turn, MOST_PIVOTS)
+        turn = min(8 * turn, MOST_PIVOTS)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT,

@@ -113,41 +113,93 @@ def _keep_best(owner, dist, ids, k):
     return owner[keep], dist[keep], ids[keep]
 
 
-def _candidates(units, ids, queries, rows, k):
-    """Pairs that can be among the k nearest of their query inside this batch; ties stay in."""
-    owners, dists, names = [], [], []
-    for start in range(0, len(rows), QUERY_STRIPE):
-        stripe = rows[start:start + QUERY_STRIPE]
-        d = np.round(1.0 - queries[stripe] @ units.T, DECIMALS)
-        bar = np.partition(d, k - 1, axis=1)[:, k - 1:k] if d.shape[1] > k else np.inf
-        r, c = np.nonzero(d <= bar)
-        owner, dist, name = _keep_best(r, d[r, c], ids[c], k)
-        owners.append(stripe[owner]), dists.append(dist), names.append(name)
-    return np.concatenate(owners), np.concatenate(dists), np.concatenate(names)
+class _Best:
+    """The k nearest (distance, id) of every query so far, and per query the distance of the last of them."""
+
+    def __init__(self, units: np.ndarray, k: int):
+        self.units, self.k = units, k
+        self.rough = units.astype(np.float32)
+        self.bar = np.full(len(units), np.inf)
+        self.held = None
+        # what a single-precision product of unit rows, and a rounded distance, can be off by
+        self.slack = (units.shape[1] + 8) * 2.0 ** -23 + 10.0 ** -DECIMALS
+
+    def _candidates(self, units, rough, rows):
+        """Pairs (query, corpus row, distance) that can be among the k nearest; ties stay in. Single precision
+        finds them, double precision measures them."""
+        owners, picks, dists = [], [], []
+        for start in range(0, len(rows), QUERY_STRIPE):
+            stripe = rows[start:start + QUERY_STRIPE]
+            near = self.rough[stripe] @ rough.T
+            cut = 1.0 - self.bar[stripe] - self.slack
+            if near.shape[1] > self.k and np.isinf(cut).any():
+                at = near.shape[1] - self.k
+                cut = np.maximum(cut, np.partition(near, at, axis=1)[:, at] - 2 * self.slack)
+            r, c = np.nonzero(near >= cut[:, None].astype(np.float32))
+            if len(r):
+                q = stripe[r]
+                d = np.round(1.0 - np.einsum("ij,ij->i", self.units[q], units[c]), DECIMALS)
+                inside = d <= self.bar[q]
+                owners.append(q[inside]), picks.append(c[inside]), dists.append(d[inside])
+        return owners, picks, dists
+
+    def add(self, units, ids, starts, groups):
+        """Corpus rows: their units, and the ids of row i at starts[i]:starts[i + 1]."""
+        rough, found = units.astype(np.float32), ([], [], [])
+        for pick, rows in groups:
+            owners, picks, dists = self._candidates(units[pick], rough[pick], rows)
+            found[0].extend(owners), found[1].extend(pick[p] for p in picks), found[2].extend(dists)
+        if not sum(map(len, found[0])):
+            return
+        owner, at, dist = map(np.concatenate, found)
+        many = (starts[1:] - starts[:-1])[at]
+        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        fresh = np.repeat(owner, many), np.repeat(dist, many), ids[np.repeat(starts[at], many) + inside]
+        if self.held is not None:
+            fresh = tuple(map(np.concatenate, zip(self.held, fresh)))
+        self.held = _keep_best(*fresh, self.k)
+        owner, dist, _ = self.held
+        ends = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
+        full = ends[np.diff(ends, prepend=-1) == self.k]
+        self.bar[owner[full]] = dist[full]
 
 
 def _best_of(batches: Iterator[tuple], query_units, k, probes=None):
-    """Running best-k over batches of (ids, vectors, cells)."""
-    best = None
-    for ids, vectors, cells in batches:
+    """The best k over batches of (lists of ids, vectors, cells)."""
+    best = _Best(query_units, k)
+    everybody = np.arange(len(query_units))
+    for lists, vectors, cells in batches:
         matrix, where = rows_of(vectors, query_units.shape[1])
         if not len(where):
             continue
         units = unit_rows(matrix)
         sound = ~np.isnan(units).any(axis=1)
-        units, names = units[sound], ids[where][sound]
+        units, kept = units[sound], lists.take(pa.array(where[sound]))
+        if not len(units):
+            continue
+        starts = np.concatenate(([0], np.cumsum(kept.value_lengths().to_numpy(zero_copy_only=False))))
         if probes is None:
-            groups = [(slice(None), np.arange(len(query_units)))]
+            groups = [(np.arange(len(units)), everybody)]
         else:
             inside = cells[where][sound]
-            groups = [(inside == c, probes[c]) for c in np.unique(inside) if c in probes]
-        for pick, rows in groups:
-            if not len(units[pick]):
-                continue
-            found = _candidates(units[pick], names[pick], query_units, rows, k)
-            both = found if best is None else tuple(map(np.concatenate, zip(best, found)))
-            best = _keep_best(*both, k)
-    return best
+            groups = [(np.flatnonzero(inside == c), probes[c]) for c in np.unique(inside) if c in probes]
+        best.add(units, _names(kept.flatten()), starts, groups)
+    return best.held
+
+
+def by_vector(corpus: DataFrame, k: int, *columns: str) -> DataFrame:
+    """(ids, embedding, columns): one row per distinct vector, with the k smallest ids that have it.
+
+    Equal vectors are equally far from every query, so a query's k nearest rows have vectors among its k nearest
+    (distance, smallest id), and of each no more than k rows: nothing else has to be measured. The ids are cut to k in tasks
+    before they are shuffled, so that a very common vector is a few rows of each task.
+    """
+    keys = [*columns, "_hash", "embedding"]
+    rows = (corpus.where(F.col("embedding").isNotNull())
+            .select("id", "embedding", *columns, F.xxhash64("embedding").alias("_hash")))
+    first = rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("id"))).where(F.col("_n") <= k)
+    return (first.groupBy(*keys).agg(F.collect_list(F.struct("id")).alias("_ids"))
+            .select(F.col("_ids.id").alias("ids"), "embedding", *columns))
 
 
 def _names(column: pa.Array) -> np.ndarray:
@@ -183,31 +235,31 @@ def _sent_queries(rows: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scan(corpus: DataFrame, query_ids, units, k, schema: StructType, probes=None) -> DataFrame:
-    """One pass over the corpus where it lies; the queries travel, the corpus does not."""
+    """One pass over the distinct vectors of the corpus; the queries are sent to every task."""
     spark = corpus.sparkSession
     sent = spark.sparkContext.broadcast((query_ids, units, probes))
     out = to_arrow_schema(schema)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q, cells_of = sent.value
-        parts = ((_names(b.column(0)), b.column(1),
+        parts = ((b.column(0), b.column(1),
                   None if cells_of is None else b.column(2).to_numpy(zero_copy_only=False))
                  for b in batches)
         found = _best_of(parts, q, k, cells_of)
         if found is not None:
             yield _emit(found, names, out)
 
-    columns = ["id", "embedding"] + ([] if probes is None else ["cell"])
     # few long tasks: the rows to merge are tasks x queries x k, whatever the number of files
     tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
-    return _merge(corpus.select(*columns).coalesce(tasks).mapInArrow(best, schema), k)
+    distinct = by_vector(corpus, k, *([] if probes is None else ["cell"]))
+    return _merge(distinct.coalesce(tasks).mapInArrow(best, schema), k)
 
 
 def topk_batch(queries: DataFrame, corpus: DataFrame, k: int = 10,
                max_values: int = MAX_QUERY_VALUES, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Exact k nearest corpus rows for every query: (query_id, id, distance, rank, score).
 
-    Each task multiplies its corpus batches with the query matrix and hands on k rows per query, so
+    Each task multiplies its distinct corpus vectors with the query matrix and hands on k rows per query, so
     pairs are never materialised. Queries are sent to all tasks only when they fit `max_values`;
     beyond that both sides are cut into bounded tiles, and tiles meet in tasks. Queries of several widths take
     a pass per width, each over the corpus rows of that width.
@@ -229,19 +281,20 @@ def topk_batch(queries: DataFrame, corpus: DataFrame, k: int = 10,
 
 def _topk_tiled(queries, corpus, k, block_rows, tile_rows, schema, dim) -> DataFrame:
     out = to_arrow_schema(schema)
+    corpus = by_vector(corpus.where(F.array_size("embedding") == dim), k)
     blocks = -(-queries.count() // block_rows)
     tiles = -(-corpus.count() // tile_rows)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(n, 1))).cast("int")
     left = queries.select("query_id", "embedding", part("query_id", blocks).alias("block"),
                           every(tiles).alias("tile"))
-    right = corpus.select("id", "embedding", part("id", tiles).alias("tile"),
+    right = corpus.select("ids", "embedding", part("embedding", tiles).alias("tile"),
                           every(blocks).alias("block"))
 
     def meet(q: pa.Table, c: pa.Table) -> pa.Table:
         if q.num_rows and c.num_rows:
             names, units = _sent_queries(q, dim)
-            batch = (_names(c["id"]), c["embedding"].combine_chunks(), None)
+            batch = (c["ids"].combine_chunks(), c["embedding"].combine_chunks(), None)
             found = _best_of(iter([batch]), units, k) if len(units) else None
             if found is not None:
                 return pa.Table.from_batches([_emit(found, names, out)])

@@ -153,3 +153,19 @@ def test_queries_of_several_widths(spark):
     assert got == {(1, 1): "a", (1, 2): "b", (2, 1): "c"}
     tiled = {(r["query_id"], r["rank"]): r["id"] for r in vectors.topk_batch(queries, corpus, 2, max_values=0).collect()}
     assert tiled == got
+
+
+def test_equal_vectors_are_measured_once(spark, data):
+    """Each distinct vector is one row of the search, with its smallest ids; the hits are those of the whole corpus."""
+    corpus, queries, m, q, names = data
+    copies = corpus.where("id like 'd%'").select(F.explode(F.array([F.lit(c) for c in "abc"])).alias("c"), "id", "embedding").select(
+        F.concat("id", "c").alias("id"), "embedding")
+    held = vectors.by_vector(copies, 5).collect()
+    assert len(held) == len(np.unique(m, axis=0)) == 401 and max(len(r["ids"]) for r in held) == 5
+    common = next(r for r in held if "d0000a" in r["ids"])
+    assert sorted(common["ids"]) == ["d0000a", "d0000b", "d0000c", "d0003a", "d0003b"]
+    found = vectors.topk_batch(queries, copies, 5)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in text[text.index("MapInArrow"):]
+    many = [n + c for n in names for c in "abc"]
+    assert lists(found) == brute(np.repeat(m, 3, axis=0), q, many, 5)

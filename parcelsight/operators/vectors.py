@@ -307,10 +307,10 @@ def _topk_tiled(queries, corpus, k, block_rows, tile_rows, schema, dim) -> DataF
 # ---- cells (IVF) --------------------------------------------------------------------------------
 
 def train_cells(corpus: DataFrame, n_cells: int, seed: int = 7, max_iter: int = 10) -> KMeansModel:
-    """Cell centres, fitted on all rows."""
-    vectors = corpus.where(F.array_size("embedding") > 0).select(
-        array_to_vector("embedding").alias("features"))
-    return KMeans(k=n_cells, distanceMeasure="cosine", seed=seed, maxIter=max_iter).fit(vectors)
+    """Cell centres, fitted on all rows: equal vectors are one point that weighs as much as its rows."""
+    points = (corpus.where(F.array_size("embedding") > 0).groupBy("embedding").agg(F.count("*").alias("weight"))
+              .select(array_to_vector("embedding").alias("features"), F.col("weight").cast("double").alias("weight")))
+    return KMeans(k=n_cells, distanceMeasure="cosine", seed=seed, maxIter=max_iter, weightCol="weight").fit(points)
 
 
 def index_rows(processed: DataFrame) -> DataFrame:

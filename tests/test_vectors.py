@@ -169,3 +169,11 @@ def test_equal_vectors_are_measured_once(spark, data):
     assert "WindowGroupLimit" in text[text.index("MapInArrow"):]
     many = [n + c for n in names for c in "abc"]
     assert lists(found) == brute(np.repeat(m, 3, axis=0), q, many, 5)
+
+
+def test_centres_are_fitted_on_weighted_vectors(spark):
+    """Copies of a vector are one weighted point, not rows that tasks hold."""
+    corpus = spark.createDataFrame([(f"{i}", [1.0, 0.0] if i % 4 else [0.0, float(i % 8 + 1)]) for i in range(80)], "id string, embedding array<float>")
+    model = vectors.train_cells(corpus, 2)
+    assert sorted(model.summary.clusterSizes) == [1, 2]
+    assert {tuple(np.round(c, 6)) for c in model.clusterCenters()} == {(1.0, 0.0), (0.0, 1.0)}

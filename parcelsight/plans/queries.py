@@ -17,7 +17,7 @@ from parcelsight.plans.oracle_base import (
     BASE, ISO, NAME_SQL, SHORT_SQL, VECTORS, level_sql, percent_sql, spaced_sql, title_sql,
 )
 from parcelsight.session import scratch_dir
-from parcelsight.sources import changes, readers
+from parcelsight.sources import changes, readers, tables
 from parcelsight.streaming import jobs
 
 STAMP = "2024-01-01T00:00:00.000Z"
@@ -43,7 +43,7 @@ select id, home_id, carrier, risk_score, n_events, event_ids, created_at from dl
 def typed_json_read(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark, "raw-json")
     docs = fx.deliveries(spark, sf).drop("vec_id", "street")
-    docs.write.json(path)
+    tables.write_json(docs, path)
     rows = readers.read_raw(spark, "deliveries", path)
     return rows.where(F.col(readers.CORRUPT).isNull()).select(
         "id", "home_id", "carrier", "risk_score",

@@ -13,6 +13,13 @@ LAYOUT = {
     "events": ("timestamp", "home_id"),
 }
 
+JSON_ROWS = 100_000     # documents per file: compressed lines cannot be split, so this bounds a task's share
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Compressed JSON lines in files of bounded size; `readers.read_raw` reads them as they are."""
+    df.write.option("maxRecordsPerFile", JSON_ROWS).json(path, compression="gzip")
+
 
 def write_by_day(df: DataFrame, kind: str, path: str, mode: str = "append") -> None:
     """One folder per day; inside a file rows are ordered by filter column and time, so that filters

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from parcelsight.operators import enrich as en
 from parcelsight.operators import episodes, feeds, joins, metrics, sensors
 from parcelsight.operators.skew import balanced_join, heavy_keys
 from parcelsight.plans import fixtures as fx
-from parcelsight.sources import tables
+from parcelsight.sources import readers, tables
 
 
 def same(a, b):
@@ -165,3 +167,14 @@ def test_no_owner_name_in_processed_texts(stored):
     assert audit.count() == raw.count() and audit.where("name_leaked").isEmpty()
     leaky = processed.withColumn("knowledge_summary", F.concat("knowledge_summary", F.lit(" Customer 000000007")))
     assert not joins.redaction_audit(raw, leaky).where("name_leaked").isEmpty()
+
+
+def test_json_lines_are_compressed_in_bounded_files(spark, stored, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "JSON_ROWS", 100)
+    path = str(tmp_path / "lines")
+    raw = stored[0].drop("vec_id", "street").coalesce(1)
+    tables.write_json(raw, path)
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert len(files) == -(-raw.count() // 100) and all(f.endswith(".json.gz") for f in files)
+    back = readers.read_raw(spark, "deliveries", path)
+    assert same(back.drop(readers.CORRUPT).select(raw.columns), raw)

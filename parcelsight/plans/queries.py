@@ -75,9 +75,11 @@ def streamed_two_stage(spark: SparkSession, sf: str) -> DataFrame:
     log = spark.read.parquet(f"{root}/processed")
     stage2 = spark.readStream.schema(log.schema).parquet(f"{root}/processed")
     jobs.start_embedding(stage2, f"{root}/ready", f"{root}/state2").awaitTermination()
-    ready = changes.upsert_latest(spark.read.parquet(f"{root}/ready"), "id", ["processed_at"])
-    return ready.select("id", "processing_status", "is_ai_ready",
-                        F.col("embedding_dimensions").cast("bigint").alias("embedding_dimensions"))
+    # only what is shown takes part: texts and vectors stay out of the shuffle
+    ready = spark.read.parquet(f"{root}/ready").select(
+        "id", "processing_status", "is_ai_ready",
+        F.col("embedding_dimensions").cast("bigint").alias("embedding_dimensions"), "processed_at")
+    return changes.upsert_latest(ready, "id", ["processed_at"]).drop("processed_at")
 
 
 def _status_changes(spark: SparkSession, sf: str) -> DataFrame:

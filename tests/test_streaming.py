@@ -126,3 +126,9 @@ def test_embedding_stream_equals_batch(spark, raw, tmp_path):
     batch = vectors.embed(en.needs_embedding(done), generated_at=F.lit(STAMP))
     pick = lambda df: df.select("id", "is_ai_ready", F.hash("embedding").alias("h"), "embedding_model")
     assert same(pick(spark.read.parquet(str(tmp_path / "out"))), pick(batch))
+
+
+def test_state_of_the_second_stage_leaves_vectors_out(spark):
+    rows = __import__("__spark_entry__").queries()["streamed_two_stage"](spark, SMALL)
+    text = rows._jdf.queryExecution().executedPlan().toString()
+    assert "embedding:array" not in text and "embedding_text" not in text and rows.columns[0] == "id"

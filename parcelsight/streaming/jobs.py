@@ -7,7 +7,6 @@ state they stand for.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -54,17 +53,14 @@ def start_routing(mixed: DataFrame, root: str, checkpoint: str, trigger: dict |
     """Split (collection, key, value) documents into one table per collection; what none takes goes to `rejected`.
 
     A micro-batch lands in folders named after its number and is overwritten when it runs again, so
-    a repeat after a failure leaves no second copy.
+    a repeat after a failure leaves no second copy. Its documents are not kept in memory: every table reads its own
+    collection from the source, where the filter skips the files and row groups of the others.
     """
     def route(batch: DataFrame, number: int) -> None:
-        batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            for name in collections:
-                (route_by_collection(batch, name, schemas.RAW[name])
-                 .write.mode("overwrite").parquet(f"{root}/{name}/batch={number}"))
-            unroutable(batch, collections).write.mode("overwrite").parquet(f"{root}/rejected/batch={number}")
-        finally:
-            batch.unpersist()
+        for name in collections:
+            (route_by_collection(batch, name, schemas.RAW[name])
+             .write.mode("overwrite").parquet(f"{root}/{name}/batch={number}"))
+        unroutable(batch, collections).write.mode("overwrite").parquet(f"{root}/rejected/batch={number}")
 
     return (mixed.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or NOW)).start())

@@ -132,3 +132,11 @@ def test_state_of_the_second_stage_leaves_vectors_out(spark):
     rows = __import__("__spark_entry__").queries()["streamed_two_stage"](spark, SMALL)
     text = rows._jdf.queryExecution().executedPlan().toString()
     assert "embedding:array" not in text and "embedding_text" not in text and rows.columns[0] == "id"
+
+
+def test_routing_keeps_no_batch_in_memory(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    kept = []
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *level: kept.append(level) or self)
+    rows = __import__("__spark_entry__").queries()["routed_collections"](spark, SMALL)
+    assert rows.groupBy("collection").count().count() == 3 and not kept

@@ -21,6 +21,7 @@ from parcelsight.sources import changes, readers, tables
 from parcelsight.streaming import jobs
 
 STAMP = "2024-01-01T00:00:00.000Z"
+EVENTS_PER_FILE = 100_000
 
 
 def _joined(c: str) -> Column:
@@ -296,7 +297,9 @@ select home_id, strftime(min(event_ts), {ISO}) as first_event, count(*) as n_eve
 having max(event_ts) + interval '5' hour <= (select max(event_ts) - interval '10' minute from raw_events)""")
 def streamed_sessions(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_dir(spark, "sessions")
-    fx.events(spark, sf).select("home_id", "event_ts", "type", "location").write.parquet(f"{root}/in")
+    # a task reads at most 32 files (128 MB, a file counts 4 MB or more), so the sessions that it opens are bounded
+    (fx.events(spark, sf).select("home_id", "event_ts", "type", "location")
+     .write.option("maxRecordsPerFile", EVENTS_PER_FILE).parquet(f"{root}/in"))
     feed = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).parquet(f"{root}/in")
     jobs.append_table(jobs.stream_sessions(feed, "5 hours"), f"{root}/out", f"{root}/state").awaitTermination()
     rows = spark.read.parquet(f"{root}/out")

@@ -140,3 +140,12 @@ def test_routing_keeps_no_batch_in_memory(spark, monkeypatch):
     monkeypatch.setattr(DataFrame, "persist", lambda self, *level: kept.append(level) or self)
     rows = __import__("__spark_entry__").queries()["routed_collections"](spark, SMALL)
     assert rows.groupBy("collection").count().count() == 3 and not kept
+
+
+def test_sessions_are_fed_from_files_of_bounded_rows(spark, monkeypatch, tmp_path):
+    from parcelsight.plans import queries
+    monkeypatch.setattr(queries, "EVENTS_PER_FILE", 500)
+    monkeypatch.setattr(queries, "scratch_dir", lambda session, label: str(tmp_path / label))
+    assert queries.streamed_sessions(spark, SMALL).count() > 0
+    sizes = spark.read.parquet(str(tmp_path / "sessions/in")).groupBy(F.input_file_name()).count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] == 500 and sizes[1] > 8

@@ -6,10 +6,13 @@ are verified in two steps. First their signatures are compared a batch of hashes
 dropped as soon as the posterior chance that it reaches the similarity (uniform prior, binomial matches) is
 below MISS. What survives is verified on the full sets.
 
-A bucket's pairs are never all emitted. Each round takes the first few nodes of a bucket, those with most company over all
-their buckets, as pivots and pairs them with the members of other components. After the round a pivot has been compared
-with everybody it could still link, so it leaves the bucket; a bucket whose members are in one component is done. Rounds
-go on, with more pivots each, until no bucket is open: no link between components is lost, and a group of near
+A bucket's pairs are never all emitted. The first round takes one node of each bucket, that with most company over all its
+buckets, as pivot and pairs it with the members of other components. After a round a pivot has been compared with everybody
+it could still link, so it leaves the bucket; a bucket whose members are in one component is done. What the first round leaves
+open are mostly sets that are alike, but less than wanted, and bands would pair each of them with its whole group. They go on
+in buckets by their rarest shingles: in any order of all shingles two sets with an overlap of o share one of the first
+size - o + 1 of either, and shingles that only one component holds come first in the order, for they pair nobody. Rounds go
+on over these buckets, with more pivots each, until none is open: no link between components is lost, and a group of near
 copies costs a multiple of its size. Components are found by alternating stars over stored tables.
 
 Shingles are compared by 64-bit hashes: within a pair two of them collide with a chance below 1e-12. Everything
@@ -30,7 +33,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,6 +48,7 @@ HASHES = BANDS * ROWS
 MISS = 1e-9
 BATCH_HASHES = 30
 MOST_PIVOTS = 512           # per bucket and round; below the bound up to which Spark ranks before it shuffles
+SIZE_STEP = 0.02            # logarithm of the step from one class of set sizes to the next
 CHUNK = 512                 # shingles hashed at once
 CACHED_WORDS = 200_000
 GROUP_BYTES = 4 << 20
@@ -206,17 +210,71 @@ def open_buckets(nodes: DataFrame) -> DataFrame:
 
 
 def pivots_of(members: DataFrame, n: int) -> DataFrame:
-    """The first n nodes of each bucket; ranked in tasks before they are shuffled."""
+    """The first n nodes of each bucket, as `a` and a_ before their other columns; ranked in tasks before they are shuffled."""
     order = W.partitionBy("bucket").orderBy(F.desc("degree"), "node")
     first = members.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
-    return first.select("bucket", F.col("node").alias("a"), F.col("degree").alias("a_degree"), F.col("component").alias("a_component"))
+    return first.select("bucket", F.col("node").alias("a"),
+                        *[F.col(c).alias(f"a_{c}") for c in members.columns if c not in ("bucket", "node")])
 
 
-def candidates(members: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Distinct (a, b): a pivot and a member of its bucket that comes after it and is in another component."""
+def candidates(members: DataFrame, pivots: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Distinct (a, b): a pivot and a member of its bucket that comes after it and is in another component; in a bucket of
+    a shingle the shingle must be early enough in both sets."""
     met = balanced_join(members, pivots, "bucket", "node")
     after = (F.col("degree") < F.col("a_degree")) | ((F.col("degree") == F.col("a_degree")) & (F.col("node") > F.col("a")))
-    return met.where(after & (F.col("component") != F.col("a_component"))).select("a", F.col("node").alias("b")).distinct()
+    wanted = after & (F.col("component") != F.col("a_component"))
+    if "place" in members.columns:
+        common = _least_common(F.col("n"), F.col("a_n"), percent)
+        wanted &= ((F.col("place") <= F.col("n") - common + 1) & (F.col("a_place") <= F.col("a_n") - common + 1)
+                   & (F.col("own") | F.col("a_own")))
+    return met.where(wanted).select("a", F.col("node").alias("b")).distinct()
+
+
+def _least_common(m: Column, n: Column, percent: int) -> Column:
+    """The overlap that sets of sizes m and n need for the similarity."""
+    return F.ceil((m + n) * percent / (100 + percent) - 1e-6)
+
+
+def shingle_buckets(members: DataFrame, facts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(bucket, node, degree, component, n, place, own): the members of open buckets, dealt anew by their first shingles.
+
+    Shingles are ordered by the number of sets that hold them, those of one component only before all others. Buckets are
+    by shingle and class of set sizes. A node is in those of its own class and, as the larger set of a pair, in
+    those of the lesser sizes that it can be alike with, so the nearer the sizes the fewer its shingles that count. The
+    degree is less the more nodes of the bucket are in the node's component: the few that stand beside a large component
+    become pivots before it, and without them the bucket is done.
+    """
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("n").to_numpy()
+            # a slice ends with the set that fills it
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) * 8 // GROUP_BYTES)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+                part = batch.slice(lo, hi - lo)
+                rows = pa.array(np.repeat(np.arange(part.num_rows), sizes[lo:hi]))
+                tokens = np.frombuffer(b"".join(part.column("hashes").to_pylist()), dtype=np.int64)
+                kept = part.select(["node", "component", "n"]).take(rows)
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(tokens)], [*kept.schema.names, "token"])
+
+    still = members.select("node", "component").distinct()
+    tokens = facts.select("node", "n", "hashes").join(still, "node").mapInArrow(
+        each, "node bigint, component bigint, n bigint, token bigint")
+    contested = (tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+                 .where(F.col("lo") != F.col("hi")).select("token", "sets"))
+    of_node = W.partitionBy("node")
+    place = F.col("n") - F.count("*").over(of_node) + F.row_number().over(of_node.orderBy("sets", "token"))
+    size_class = lambda n: F.floor(F.log(n) / SIZE_STEP)
+    least = F.ceil(F.col("n") * percent / 100 - 1e-6)
+    placed = tokens.join(contested, "token").withColumn("place", place).where(F.col("place") <= F.col("n") - least + 1)
+    dealt = (placed.withColumn("class", F.explode(F.sequence(size_class(least), size_class(F.col("n")))))
+             .withColumn("least", F.greatest(least, F.floor(F.exp(F.col("class") * SIZE_STEP)))))
+    dealt = dealt.where(F.col("place") <= F.col("n") - _least_common(F.col("n"), F.col("least"), percent) + 1)
+    own = F.col("class") == size_class(F.col("n"))
+    dealt = stored(dealt.select(F.xxhash64("class", "token").alias("bucket"), "node", "component", "n", "place",
+                                own.alias("own")), "minhash-shingles")
+    several = _with_several(dealt)
+    sizes = several.groupBy("bucket", "component").agg((-F.count("*")).alias("degree"))
+    return stored(several.join(sizes, ["bucket", "component"]), "minhash-buckets")
 
 
 def _with_facts(pairs: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
@@ -259,14 +317,19 @@ def confirm(pairs: DataFrame, facts: DataFrame, percent: int = PERCENT) -> DataF
     return known.mapInArrow(each, "a bigint, b bigint")
 
 
+def _with_several(members: DataFrame) -> DataFrame:
+    """The members of the buckets that hold several components."""
+    several = (members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+               .where(F.col("lo") != F.col("hi")).select("bucket"))
+    return stored(balanced_join(members, several, "bucket", "node"), "minhash-buckets")
+
+
 def still_open(members: DataFrame, pivots: DataFrame, roots: DataFrame) -> DataFrame:
     """Members without the pivots, with their new components, of the buckets that hold several components."""
-    rest = members.drop("component").join(pivots.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
-    labelled = stored(rest.join(roots, "node", "left").select(
-        "bucket", "node", "degree", F.coalesce("root", "node").alias("component")), "minhash-rest")
-    several = (labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-               .where(F.col("lo") != F.col("hi")).select("bucket"))
-    return stored(balanced_join(labelled, several, "bucket", "node"), "minhash-buckets")
+    rest = members.join(pivots.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
+    labelled = (rest.withColumnRenamed("component", "_old").join(roots, "node", "left")
+                .withColumn("component", F.coalesce("root", "node")).select(*members.columns))
+    return _with_several(stored(labelled, "minhash-rest"))
 
 
 def linked_nodes(docs: DataFrame, nodes: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT,
@@ -278,7 +341,7 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, text: str = "text", k: int =
     roots, turn = None, 1
     while True:
         pivots = stored(pivots_of(members, turn), "minhash-pivots")
-        tried = prune(candidates(members, pivots), facts.select("node", "n", "signature"), percent, miss)
+        tried = prune(candidates(members, pivots, percent), facts.select("node", "n", "signature"), percent, miss)
         found = stored(confirm(tried, facts.select("node", "hashes"), percent), "minhash-links")
         # the stars so far have the components of all earlier links, in fewer edges and without long chains
         if roots is None:
@@ -286,6 +349,8 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, text: str = "text", k: int =
         elif not found.isEmpty():
             roots = components(found.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
         members = still_open(members, pivots, roots)
+        if turn == 1:
+            members = shingle_buckets(members, facts, percent)
         if members.isEmpty():
             return roots
         turn = min(8 * turn, MOST_PIVOTS)

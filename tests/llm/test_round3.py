@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -47,6 +48,41 @@ def test_minhash_groups_of_odd_rows(odd, clashing, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def alike_rows():
+    """Copies of three texts with words replaced, dropped and appended, so that most pairs are just below the similarity."""
+    rng, rows = random.Random(3), []
+    for g, size in enumerate((40, 90, 150)):
+        base = [f"g{g}w{i}" for i in range(size)]
+        for c in range(60):
+            words = list(base)
+            for e in range(rng.randint(0, size // 15)):
+                at = rng.randrange(len(words))
+                words[at:at + 1] = [[f"x{rng.randrange(12)}"], [f"u{g}.{c}.{e}"], []][rng.randrange(3)]
+            words += [f"t{i}" for i in range(rng.choice((0, 0, 0, size // 12)))]
+            rows.append((len(rows) + 1, " ".join(words), None, "a"))
+    return rows
+
+
+def test_minhash_does_not_pair_whole_groups_of_unlinked_texts(spark, monkeypatch):
+    pairs, candidates = [], minhash.candidates
+
+    def counted(*given):
+        found = candidates(*given)
+        pairs.append(found.count())
+        return found
+
+    monkeypatch.setattr(minhash, "candidates", counted)
+    schema = "doc_id bigint, text string, lang string, source string"
+    rows = alike_rows()
+    found = minhash.near_duplicates(spark.createDataFrame(rows, schema)).select("doc_id", "n_shingles", "component")
+    assert sorted_rows(found) == brute_groups(rows)
+    pairs.clear()
+    apart = [(n, " ".join(f"u{n}.{i}" if i % 13 == n % 13 else f"w{i}" for i in range(100)), None, "a") for n in range(1, 101)]
+    found = minhash.near_duplicates(spark.createDataFrame(apart, schema)).select("doc_id", "n_shingles", "component")
+    assert sorted_rows(found) == brute_groups(apart)
+    assert sum(pairs) < 1000
+
+
 def test_resampling_of_odd_rows(spark, odd, clashing, empty):
     target = spark.createDataFrame([(1, "one two three"), (2, None), (3, "")], "item_id bigint, text string")
     cols = ["doc_id", "n_features", "weight", "score", "rank"]

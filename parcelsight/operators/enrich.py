@@ -67,5 +67,7 @@ def needs_embedding(processed: DataFrame) -> DataFrame:
     bare = F.lit(True)
     if "embedding" in processed.columns:
         bare = F.coalesce(F.array_size("embedding"), F.lit(0)) == 0
-    return processed.where(~ready & (F.col("processing_status") == "processed") & bare
-                           & (F.length(text_to_embed()) >= MIN_EMBED_CHARS))
+    # a generator of one element: the filter on the text does not pull the making of the text into it, so it is made once
+    rows = processed.select("*", F.explode(F.array(text_to_embed())).alias("_text_to_embed"))
+    return rows.where(~ready & (F.col("processing_status") == "processed") & bare
+                      & (F.length("_text_to_embed") >= MIN_EMBED_CHARS)).drop("_text_to_embed")

@@ -178,3 +178,18 @@ def test_json_lines_are_compressed_in_bounded_files(spark, stored, tmp_path, mon
     assert len(files) == -(-raw.count() // 100) and all(f.endswith(".json.gz") for f in files)
     back = readers.read_raw(spark, "deliveries", path)
     assert same(back.drop(readers.CORRUPT).select(raw.columns), raw)
+
+
+def test_texts_to_embed_are_made_once(spark):
+    """The filter on the length of a text reads the text that was made; it does not make it again."""
+    n = F.col("id")
+    rows = spark.range(20).select(
+        n.cast("string").alias("id"), F.lit("processed").alias("processing_status"), (n % 5 == 0).alias("is_ai_ready"),
+        F.concat_ws(" ", F.lit("made text"), F.when(n % 3 > 0, n)).alias("knowledge_summary"),
+        F.when(n % 2 == 0, F.concat_ws(" ", F.lit("made"), n)).alias("embedding_text"))
+    found = en.needs_embedding(rows)
+    assert found.columns == rows.columns
+    # "made" with a number is too short, and so is "made text" alone
+    assert sorted(int(r["id"]) for r in found.collect()) == [n for n in range(20) if n % 2 and n % 3 and n % 5]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("concat_ws" in line for line in plan.splitlines() if "Filter" in line)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parcelsight.functions import episode
 from parcelsight.operators.enrich import enrich
+from parcelsight.operators.vectors import index_rows
 
 # Per scenario the bucket bound (percent), status, place, score range, factors, alert.
 SCENARIOS = [
@@ -156,18 +157,28 @@ def _steps():
     return F.expr("map(" + ", ".join(f"'{s}', array({steps(e)})" for s, e in TEMPLATE.items()) + ")")
 
 
-def deliveries(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
-    """Raw deliveries as documents, timeline included; keeps vec_id and street for later joins."""
+def deliveries(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None, ids: DataFrame | None = None,
+               timed: bool = True) -> DataFrame:
+    """Raw deliveries as documents, timeline included; keeps vec_id and street for later joins.
+
+    With `ids`, a table of one column, only rows with one of these ids are made into documents.
+    With `timed` off the same rows come with the type and place of each event only, for `ready_vectors`, which reads nothing
+    made from ids, texts and times of events: they cost more than all the rest.
+    """
     rows = delivery_rows(spark, sf_dir, orders)
+    if ids is not None:
+        rows = rows.join(ids, "id", "left_semi")
     created = F.col("created_ts")
-    timeline = F.transform(
-        F.try_element_at(_steps(), F.col("scenario_type")),
-        lambda s, i: F.struct(
-            F.concat(F.col("id"), F.lit("-"), i.cast("string")).alias("event_id"),
-            s["type"].alias("event_type"),
-            s["place"].alias("location"),
-            episode.event_summary(s["type"], s["place"]).alias("summary"),
-            iso_text(created + F.make_dt_interval(secs=s["sec"])).alias("timestamp")))
+    entry = lambda s, i: F.struct(
+        F.concat(F.col("id"), F.lit("-"), i.cast("string")).alias("event_id"),
+        s["type"].alias("event_type"),
+        s["place"].alias("location"),
+        episode.event_summary(s["type"], s["place"]).alias("summary"),
+        iso_text(created + F.make_dt_interval(secs=s["sec"])).alias("timestamp"))
+    none = F.lit(None).cast("string")
+    bare = lambda s: F.struct(none.alias("event_id"), s["type"].alias("event_type"), s["place"].alias("location"),
+                              none.alias("summary"), none.alias("timestamp"))
+    timeline = F.transform(F.try_element_at(_steps(), F.col("scenario_type")), entry if timed else bare)
     # a generator of one element: filters on the timeline do not pull its computation below the join
     rows = rows.select("*", F.explode(F.array(timeline)).alias("event_timeline"))
     return rows.select(
@@ -229,13 +240,21 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def processed(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None, timed: bool = True) -> DataFrame:
     """Enriched deliveries with a fixed processing time, so that runs compare equal."""
-    return enrich(deliveries(spark, sf_dir), processed_at=F.lit("2024-01-01T00:00:00.000Z"))
+    return enrich(deliveries(spark, sf_dir, ids=ids, timed=timed), processed_at=F.lit("2024-01-01T00:00:00.000Z"))
 
 
-def ai_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Enriched deliveries with their vector from the embeddings table."""
+def _with_vectors(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    joined = processed(spark, sf_dir).join(vectors, "vec_id", "left")
-    return joined.withColumn("is_ai_ready", F.col("embedding").isNotNull())
+    return rows.join(vectors, "vec_id", "left").withColumn("is_ai_ready", F.col("embedding").isNotNull())
+
+
+def ai_ready(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """Enriched deliveries with their vector from the embeddings table; all of them, or those with one of `ids`."""
+    return _with_vectors(spark, sf_dir, processed(spark, sf_dir, ids))
+
+
+def ready_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of `ai_ready` with what a search index holds of them."""
+    return index_rows(_with_vectors(spark, sf_dir, processed(spark, sf_dir, timed=False)))

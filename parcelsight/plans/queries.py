@@ -880,7 +880,7 @@ def topk_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, sf: str):
-    corpus = vectors.index_rows(fx.ai_ready(spark, sf))
+    corpus = fx.ready_vectors(spark, sf)
     model = vectors.train_cells(corpus, 16)
     path = scratch_dir(spark, "cells")
     vectors.write_cells(vectors.assign_cells(corpus, model), path)

@@ -873,7 +873,7 @@ MANY = VECTORS + """
 @query("topk_batch", MANY.replace("{k}", "10") + """
 select query_id, id, round(dist, 6) as distance, rank, round(1 - dist, 6) as score from best""")
 def topk_batch(spark: SparkSession, sf: str) -> DataFrame:
-    corpus = fx.ai_ready(spark, sf).select("id", "embedding")
+    corpus = fx.ready_vectors(spark, sf).select("id", "embedding")
     hits = vectors.topk_batch(_question_vectors(spark, sf), corpus, 10)
     return hits.select("query_id", "id", F.round("distance", 6).alias("distance"),
                        F.col("rank").cast("bigint").alias("rank"), "score")

@@ -913,10 +913,15 @@ def sq8_topk(spark: SparkSession, sf: str) -> DataFrame:
 # ---- question contexts --------------------------------------------------------------------------
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    """Eight hits for every question vector, with the delivery columns of each."""
-    rows = fx.ai_ready(spark, sf)
-    best = vectors.topk_batch(_question_vectors(spark, sf), rows.select("id", "embedding"), 8)
-    return best.join(rows.select(*feeds.SEARCH_RESULT), "id")
+    """Eight hits for every question vector, with the delivery columns of each.
+
+    The hits are stored, so that only deliveries that were found are made into documents and travel to the join.
+    """
+    corpus = fx.ready_vectors(spark, sf).select("id", "embedding")
+    path = scratch_dir(spark, "hits")
+    vectors.topk_batch(_question_vectors(spark, sf), corpus, 8).write.parquet(path)
+    best = spark.read.parquet(path)
+    return best.join(fx.ai_ready(spark, sf, best.select("id")).select(*feeds.SEARCH_RESULT), "id")
 
 
 HITS = MANY.replace("{k}", "8") + f"""

@@ -1,4 +1,4 @@
-"""The batch search holds bounded memory."""
+"""The batch search holds bounded memory, and contexts make documents of the hits only."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ from pyspark.ml.clustering import KMeans
 
 from fixtures_small import SMALL
 from parcelsight.functions.vector_math import unit_rows
-from parcelsight.operators import vectors
+from parcelsight.operators import feeds, vectors
 from parcelsight.plans import fixtures as fx
+from parcelsight.plans import queries
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +97,16 @@ def test_index_rows_do_without_timelines(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "Delivery confirmed" not in plan(lean) and "date_format" not in plan(lean)
     assert len(plan(lean)) < len(plan(full))
+
+
+def test_documents_are_made_of_hits_only(spark):
+    """Wide rows are made, and travel, for deliveries that were found, not for all of them."""
+    hits = queries._hits(spark, SMALL)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Generate") < plan.index("LeftSemi")
+    wanted = spark.createDataFrame([(i,) for i in ("del-00000003", "none")], "id string")
+    every = fx.ai_ready(spark, SMALL).select(*feeds.SEARCH_RESULT)
+    some = fx.ai_ready(spark, SMALL, hits.select("id")).select(*feeds.SEARCH_RESULT)
+    found = every.join(hits.select("id").distinct(), "id").select(*every.columns)
+    assert some.exceptAll(found).isEmpty() and found.exceptAll(some).isEmpty() and not found.isEmpty()
+    assert fx.ai_ready(spark, SMALL, wanted).where("id = 'none'").isEmpty()

@@ -73,11 +73,10 @@ def delivery_blocks(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "rank", "id", delivery_block().alias("block"))
 
 
-def _lists(hits: DataFrame) -> DataFrame:
+def _lists(hits: DataFrame, *more: Column) -> DataFrame:
     """Hits of each query as one array in rank order: k entries, because a search returned them."""
     entry = F.struct("rank", risk_level(F.col("risk_score")).alias("level"), "carrier",
-                     "scenario_type", F.coalesce("risk_factors", F.array()).alias("factors"),
-                     delivery_block().alias("block"))
+                     "scenario_type", F.coalesce("risk_factors", F.array()).alias("factors"), *more)
     return hits.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("hits"))
 
 
@@ -109,7 +108,7 @@ def fleet_summary(hits: DataFrame) -> DataFrame:
 def context(hits: DataFrame) -> DataFrame:
     """Header and blocks in rank order; one shuffle by query builds all of it."""
     blocks = F.transform("hits", lambda h: h["block"])
-    return _lists(hits).select(
+    return _lists(hits, delivery_block().alias("block")).select(
         "query_id", F.array_join(F.concat(F.array(_header()), blocks), "\n").alias("context"))
 
 

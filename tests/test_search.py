@@ -7,10 +7,11 @@ import pyarrow as pa
 import pytest
 from pyspark import SparkContext
 from pyspark.ml.clustering import KMeans
+from pyspark.sql import functions as F
 
 from fixtures_small import SMALL
 from parcelsight.functions.vector_math import unit_rows
-from parcelsight.operators import feeds, vectors
+from parcelsight.operators import feeds, rag, vectors
 from parcelsight.plans import fixtures as fx
 from parcelsight.plans import queries
 
@@ -110,3 +111,12 @@ def test_documents_are_made_of_hits_only(spark):
     found = every.join(hits.select("id").distinct(), "id").select(*every.columns)
     assert some.exceptAll(found).isEmpty() and found.exceptAll(some).isEmpty() and not found.isEmpty()
     assert fx.ai_ready(spark, SMALL, wanted).where("id = 'none'").isEmpty()
+
+
+def test_summaries_leave_blocks_alone(spark, make):
+    from parcelsight.operators import enrich as en
+    hits = en.enrich(make({}, {"id": "b"})).withColumns({"query_id": F.lit(1), "rank": F.length("id")})
+    text = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "--- Delivery" in text(rag.context(hits)) and "--- Delivery" not in text(rag.fleet_summary(hits))
+    head = rag.fleet_summary(hits).first()["summary"]
+    assert rag.context(hits).first()["context"].startswith(head)
